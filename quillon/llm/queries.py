@@ -2,6 +2,15 @@
 
 from quillon.llm.op03_exact_dedup import OP3_SQL, op3_exact_dedup
 from quillon.llm.op05_line_dedup import OP5_SQL, op5_line_dedup
+from quillon.llm.op06_license import op6_license_scan
+from quillon.llm.op07_bpe import op7_bpe
+from quillon.llm.op10_pii import op10_pii
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op5_line_dedup": op5_line_dedup}
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_bpe": op7_bpe,
+    "op10_pii": op10_pii,
+}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL}
