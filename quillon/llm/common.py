@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: For bytes.translate: ASCII letters lower-cased, digits and bytes from 0x80 kept, all else made a space.
+ASCII_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
 
 def map_texts(docs: DataFrame, keep: list, schema: str, make: Callable[[], Callable[[list[bytes]], Iterable[tuple]]], *, text_col: str = "text", batch_rows: int = 256) -> DataFrame:
     """The columns ``keep`` of docs, untouched, and one tuple of ``schema`` for each row's text.

@@ -9,7 +9,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_texts
+from quillon.llm.common import ASCII_WORDS, map_texts
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -41,7 +41,6 @@ FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlic
 #: What a notice of each kind adds to the score: 1 - the product of (1 - weight).
 WEIGHTS = {"base": 0.6, "notice": 0.8, "expression": 0.95}
 
-WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
@@ -116,7 +115,7 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan(data: bytes) -> tuple:
-    words = data.translate(WORDS).split()
+    words = data.translate(ASCII_WORDS).split()
     line = f" {b' '.join(words).decode('latin-1')} "
     base: list[int] = []
     base_labels, labels, kinds, free, expressions = set(), set(), set(), [], []

@@ -4,6 +4,8 @@ from quillon.llm.op03_exact_dedup import OP3_SQL, op3_exact_dedup
 from quillon.llm.op05_line_dedup import OP5_SQL, op5_line_dedup
 from quillon.llm.op06_license import op6_license_scan
 from quillon.llm.op07_bpe import op7_bpe
+from quillon.llm.op08_simhash import op8_simhash
+from quillon.llm.op09_toxicity import op9_toxicity
 from quillon.llm.op10_pii import op10_pii
 
 QUERIES = {
@@ -11,6 +13,8 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL}
