@@ -1,5 +1,6 @@
 """Queries of the corpus operators, by name, and their SQL where SQL can express them."""
 
+from quillon.llm.op01_lm import op1_lm_score
 from quillon.llm.op02_order_minhash import op2_order_minhash
 from quillon.llm.op03_exact_dedup import OP3_SQL, op3_exact_dedup
 from quillon.llm.op04_mixing import OP4_SQL, op4_mixing
@@ -11,6 +12,7 @@ from quillon.llm.op09_toxicity import op9_toxicity
 from quillon.llm.op10_pii import op10_pii
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_order_minhash": op2_order_minhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
