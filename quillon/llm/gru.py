@@ -6,10 +6,10 @@ import heapq
 
 import numpy as np
 
-VOCABULARY, CLASSES = 4096, 64
+VOCABULARY, CLASSES = 2048, 32
 MEMBERS = VOCABULARY // CLASSES
 UNKNOWN, END = 0, 1
-EMBED, HIDDEN = 24, 32
+EMBED, HIDDEN = 16, 16
 
 SHAPES = {"emb": (VOCABULARY, EMBED), "wx": (EMBED, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (VOCABULARY, HIDDEN), "bm": (VOCABULARY,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -178,13 +178,19 @@ def windows(packed, length: int):
         yield np.ascontiguousarray(x[:, part].T).astype(np.int64), np.ascontiguousarray(y[:, part].T).astype(np.int64), np.ascontiguousarray(keep[:, part].T), np.ascontiguousarray(doc[:, part].T)
 
 
-def train(flat: np.ndarray, squares: np.ndarray, docs: list[np.ndarray], *, slots: int, length: int, rate: float, seed: int) -> float:
-    """Goes over the documents once, changing flat and squares; returns the loss. The state is carried
-    from window to window, and reset where a document starts."""
+def train(flat: np.ndarray, squares: np.ndarray, docs: list[np.ndarray], *, slots: int, length: int, rate: float, seed: int, every: int = 3) -> float:
+    """Goes over the documents once, changing flat and squares; returns the loss of the windows learnt.
+
+    The state is carried through all windows, and reset where a document starts. One window in
+    ``every`` is backpropagated, beginning with another one for each seed; the others only move the state.
+    """
     p, q, total = views(flat), views(squares), 0.0
     packed = pack(docs, slots, seed)
     h = np.zeros((len(packed[0]), HIDDEN), np.float32)
-    for x, y, keep, doc in windows(packed, length):
+    for i, (x, y, keep, doc) in enumerate(windows(packed, length)):
+        if (i + seed) % every:
+            _, h, _ = forward(p, x, keep, h)
+            continue
         loss, g, emb, h = gradients(p, x, y, keep, doc >= 0, h)
         descend(p, q, g, emb, rate)
         total += float(loss)
