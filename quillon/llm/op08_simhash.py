@@ -166,7 +166,7 @@ def links(fps: DataFrame, *, tau: int = TAU, most_candidates: int = 130) -> Data
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = TAU) -> DataFrame:
-    """One row per row of docs: doc_id, fp (64 bits, signed), component_id.
+    """One row per row of docs: doc_id, text_hash, fp (64 bits, signed), component_id.
 
     Words are what lies between blanks (U+0009-000D and space), A-Z lower-cased; a bit is 1 where it
     is set in over half the XXH64 (seed 42) of the shingles, repeats included. A text of fewer words
@@ -174,13 +174,21 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id reachable over links; null ids are reached but never the smallest
     (null only where a whole component has null ids). An empty table gives no rows.
     """
-    prints = settle(with_fingerprint(docs, keep=[F.col(id_col).alias("doc_id")], text_col=text_col, shingle=shingle))
+    prints = settle(with_fingerprint(docs, keep=[F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")], text_col=text_col, shingle=shingle))
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     joined = components(links(classes.select("fp"), tau=tau))
     roots = classes.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = settle(roots.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is their component's smallest: one document of each group stays.
+    Rows that repeat both id and text are one document."""
+    stay = near_dedup(docs, id_col=id_col, text_col=text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__x"))
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__x")), "left_semi")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
