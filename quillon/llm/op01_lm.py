@@ -166,7 +166,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(ln[at : at + b.num_rows])], names=names)
                 at += b.num_rows
 
-    scored = encoded.select(*kept.columns, "ids").mapInArrow(run, kept.schema.add("ln", "double"))
+    scored = settle(encoded.select(*kept.columns, "ids").mapInArrow(run, kept.schema.add("ln", "double")))
     rare = encoded.select("rid", F.explode("rare").alias("token")).join(counts, "token").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count(F.lit(1)).alias("n_rare"))
     out = scored.join(rare, "rid", "left").na.fill(0, ["rare_sum", "n_rare"])
     return out.select(
