@@ -64,7 +64,7 @@ def as_text(sig: str) -> Column:
 
 
 def following(rows: DataFrame) -> DataFrame:
-    """rows: distinct (doc_id, x, ...). Adds next_id, next_x, and prev_chars, cyclically in ascending order.
+    """rows: distinct (doc_id, x, ...). Adds next_id, next_x, prev_id, prev_x and prev_chars, cyclically in ascending order.
 
     Ranges of ids are ordered each on its own; the first and last row of each range, as many as there
     are partitions, connect them.
@@ -74,11 +74,11 @@ def following(rows: DataFrame) -> DataFrame:
     edges = ranges.groupBy("p").agg(F.min(F.struct("doc_id", "x")).alias("first"), F.max(F.struct("doc_id", "x", "n_chars")).alias("last"))
     ring = Window.partitionBy(F.lit(0)).orderBy("p")  # one row a partition
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select("p", F.coalesce(F.lead("first").over(ring), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(ring), F.last("last").over(whole))["n_chars"].alias("before"))
+    edges = edges.select("p", F.coalesce(F.lead("first").over(ring), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(ring), F.last("last").over(whole)).alias("before"))
     inside = Window.partitionBy("p").orderBy("doc_id", "x")
-    out = ranges.withColumns({"n": F.lead(F.struct("doc_id", "x")).over(inside), "c": F.lag("n_chars").over(inside)}).join(F.broadcast(edges), "p")
-    out = out.withColumn("n", F.coalesce("n", "after")).withColumn("prev_chars", F.coalesce("c", "before"))
-    return settle(out.select("doc_id", "x", "n_chars", "copies", F.col("n.doc_id").alias("next_id"), F.col("n.x").alias("next_x"), "prev_chars"))
+    out = ranges.withColumns({"n": F.lead(F.struct("doc_id", "x")).over(inside), "c": F.lag(F.struct("doc_id", "x", "n_chars")).over(inside)}).join(F.broadcast(edges), "p")
+    out = out.withColumn("n", F.coalesce("n", "after")).withColumn("c", F.coalesce("c", "before"))
+    return settle(out.select("doc_id", "x", "n_chars", "copies", F.col("n.doc_id").alias("next_id"), F.col("n.x").alias("next_x"), F.col("c.doc_id").alias("prev_id"), F.col("c.x").alias("prev_x"), F.col("c.n_chars").alias("prev_chars")))
 
 
 def order_minhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,10 +95,11 @@ def order_minhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = base.select("doc_id", "x", F.char_length("text").cast("long").alias("n_chars")).groupBy("doc_id", "x").agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
     after = following(rows)
 
-    own = base.join(after.select(F.col("doc_id").alias("i"), F.col("x").alias("y"), "n_chars", "copies", "next_id", "next_x", "prev_chars"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("y"))).drop("i", "y")
-    start = own.select(F.col("doc_id").alias("of_id"), F.col("x").alias("of_x"), F.expr("left(text, int(prev_chars div 2))").alias("start"), "copies")
+    own = base.join(after.select(F.col("doc_id").alias("i"), F.col("x").alias("y"), "n_chars", "copies", "next_id", "next_x", "prev_id", "prev_x", "prev_chars"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("y"))).drop("i", "y")
+    # the start of a text goes to the document before it, whose own text stays where it is
+    start = own.select(F.col("prev_id").alias("of_id"), F.col("prev_x").alias("of_x"), F.expr("left(text, int(prev_chars div 2))").alias("start"), "copies")
     start = start.where("copies = 1").unionByName(start.where("copies > 1").dropDuplicates(["of_id", "of_x"])).drop("copies")
-    paired = own.join(start, F.col("next_id").eqNullSafe(F.col("of_id")) & (F.col("next_x") == F.col("of_x"))).drop("of_id", "of_x")
+    paired = own.join(start, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("x") == F.col("of_x"))).drop("of_id", "of_x")
     half = F.expr("int(n_chars div 2)")
     edited = F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), F.substring("start", F.lit(1), half))
     paired = paired.select("doc_id", "x", "n_chars", "next_id", "next_x", "text", edited.alias("edited"))
