@@ -26,15 +26,11 @@ def signature(df: DataFrame, text: Column, out: str, *, k: int = WORDS_IN_KMER,
     at = lambda c, i: F.get(c, i)
     pos = lambda x: x.bitwiseAND(F.lit((1 << POS) - 1))
     bin_of = lambda x: F.shiftright(x, BIN_AT)
-    n = F.size("__h")
-    kmers = (
-        F.when(n == 0, F.array().cast("array<bigint>"))
-        .when(n < k, F.array(F.xxhash64("__h")))
-        .otherwise(F.transform(F.slice("__h", 1, F.greatest(n - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[at("__h", i + j) for j in range(1, k)])))
-    )
     pack = lambda h, p: F.shiftleft(h.bitwiseAND(F.lit(TOP)), POS).bitwiseOR(p)
-    df = df.withColumn("__h", F.transform(F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0)), lambda w: F.xxhash64(w)))
-    df = df.withColumn("__s", F.sort_array(F.transform(kmers, lambda x, i: pack(x, i.cast("long"))))).drop("__h")
+    df = df.withColumn("__w", F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0)))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - (k - 1), F.lit(1)))
+    packed = F.transform(starts, lambda i: pack(F.xxhash64(F.slice("__w", i, k)), i.cast("long")))
+    df = df.withColumn("__s", F.when(F.size("__w") == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(packed))).drop("__w")
     df = df.withColumn("__k", F.transform("__s", lambda x: F.shiftright(x, POS)))
     # occurrence numbers: sorted, equal k-mers stand together in text order; each run is 0, 1, 2, ...
     runs = F.regexp_extract_all(F.array_join(F.transform("__k", lambda x, i: F.when((i > 0) & (at("__k", i - 1) == x), "1").otherwise("0")), ""), F.lit("01*"), F.lit(0))
