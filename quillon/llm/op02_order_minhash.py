@@ -45,7 +45,9 @@ def signature(df: DataFrame, text: Column, out: str, *, k: int = WORDS_IN_KMER,
     part = lambda x, i, j: F.when(bin_of(at("__o", i + j)) == bin_of(x), at("__o", i + j).bitwiseAND(F.lit(0xFFFFFFFF)))
     tuples = F.transform("__o", lambda x, i: F.struct(bin_of(x).cast("int").alias("b"), F.xxhash64(*[F.coalesce(part(x, i, j), F.lit(-1)) for j in range(least)]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), ((i == 0) | (bin_of(at("__o", i - 1)) != bin_of(x))).alias("first")))
     df = df.withColumn("__t", F.map_from_entries(F.transform(F.filter(tuples, lambda t: t["first"]), lambda t: F.struct(t["b"], t["h"])))).drop("__o")
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at("__t", b))).drop("__t")
+    # __t stands here twice: named once, within a lambda, it would be made inline and anew for each bin
+    looked_up = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at("__t", b))
+    return df.withColumn(out, F.when(F.size("__t") == 0, F.array_repeat(F.lit(None).cast("bigint"), BINS)).otherwise(looked_up)).drop("__t")
 
 
 def likeness(a: str, b: str) -> Column:
