@@ -39,99 +39,125 @@ def start(counts: np.ndarray, seed: int = 1) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def forward(p: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: bool = False):
-    """States after each of the T steps. x: (T, B) ids; keep: (T, B), 0 where a document starts."""
-    inputs = p["emb"][x] @ p["wx"] + p["b"]
-    states, traced = np.empty((*x.shape, HIDDEN), np.float32), []
+    """Of x, in place. An exponential is several times cheaper here than tanh."""
+    np.negative(np.maximum(x, -60, out=x), out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    """Of x, in place: 2 sigmoid(2 x) - 1."""
+    x *= 2
+    sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
+
+
+def softmax(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of logits (choices, n), changed in place into unscaled probabilities: their sums, and ln P of the
+    choices y. One column for each token, so that sums run along memory."""
+    x -= x.max(axis=0)
+    at = x[y, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return total, at - np.log(total)
+
+
+def input_table(p: dict) -> np.ndarray:
+    """What each id puts into the gates: (VOCABULARY, 3 H)."""
+    return p["emb"] @ p["wx"] + p["b"]
+
+
+def forward(p: dict, table: np.ndarray, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: bool = False):
+    """States (H, T, B) after each of the T steps. x: (T, B) ids; keep: (T, B), 0 where a document
+    starts; h: (H, B)."""
+    inputs, u = table[x].transpose(0, 2, 1), np.ascontiguousarray(p["u"].T)
+    states, traced = np.empty((HIDDEN, *x.shape), np.float32), []
     for t in range(len(x)):
-        h = h * keep[t][:, None]
-        a = h @ p["u"]
-        gates = sigmoid(inputs[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(inputs[t, :, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+        h = h * keep[t]
+        a, given = u @ h, inputs[t]
+        gates = sigmoid(given[: 2 * HIDDEN] + a[: 2 * HIDDEN])
+        z, r = gates[:HIDDEN], gates[HIDDEN:]
+        new = tanh(given[2 * HIDDEN :] + r * a[2 * HIDDEN :])
         if trace:
-            traced.append((h, a[:, 2 * HIDDEN :], z, r, new))
+            traced.append((h, a[2 * HIDDEN :], z, r, new))
         h = new + z * (h - new)
-        states[t] = h
+        states[:, t] = h
     return states, h, traced
 
 
 def segments(y: np.ndarray):
-    """Positions in the order of their class, and (class, from, to) of each class that occurs."""
-    classes = y // MEMBERS
+    """Classes, words within them, positions in the order of their class, and (class, from, to) of each
+    class that occurs."""
+    classes = (y // MEMBERS).astype(np.uint8)  # small integers are sorted in linear time
     order = np.argsort(classes, kind="stable")
-    found, starts = np.unique(classes[order], return_index=True)
-    return order, list(zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(y)], strict=True))
+    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
+    parts = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if a < b]
+    return classes, (y % MEMBERS)[order], order, parts
 
 
 def log_likelihood(p: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """ln P of each target: of its class, and of the word within the class. states: (n, H)."""
-    out = log_softmax(states @ p["wc"] + p["bc"])[np.arange(len(y)), y // MEMBERS]
-    order, parts = segments(y)
+    """ln P of each target: of its class, and of the word within the class. states: (H, n)."""
+    classes, member, order, parts = segments(y)
+    out = softmax(p["wc"].T @ states + p["bc"][:, None], classes)[1]
+    inner, by_class = np.empty_like(out), states[:, order]
     for c, a, b in parts:
-        at = order[a:b]
         within = slice(c * MEMBERS, (c + 1) * MEMBERS)
-        out[at] += log_softmax(states[at] @ p["wm"][within].T + p["bm"][within])[np.arange(b - a), y[at] % MEMBERS]
+        inner[a:b] = softmax(p["wm"][within] @ by_class[:, a:b] + p["bm"][within][:, None], member[a:b])[1]
+    out[order] += inner
     return out
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray):
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, keep: np.ndarray, real: np.ndarray, h: np.ndarray, over: int):
     """One window of truncated backpropagation: (loss, gradients, rows of emb, last state). The state
-    that comes in counts as given, so no gradient leaves the window."""
-    states, last, traced = forward(p, x, keep, h, trace=True)
+    that comes in counts as given, so no gradient leaves the window. Gradients are divided by
+    ``over``, the tokens of a full window, so that every token weighs the same."""
+    states, last, traced = forward(p, input_table(p), x, keep, h, trace=True)
     flat = np.flatnonzero(real)
-    s, target = states.reshape(-1, HIDDEN)[flat], y.ravel()[flat]
-    n = max(len(flat), 1)
-    g = {k: np.zeros(SHAPES[k], np.float32) for k in ("wx", "u", "b", "wc", "bc", "wm", "bm")}
-    lc = log_softmax(s @ p["wc"] + p["bc"])
-    loss = -lc[np.arange(len(s)), target // MEMBERS].sum()
-    d = np.exp(lc)
-    d[np.arange(len(s)), target // MEMBERS] -= 1
-    d /= n
-    g["wc"], g["bc"] = s.T @ d, d.sum(axis=0)
-    ds = d @ p["wc"].T
-    order, parts = segments(target)
+    s, target = states.reshape(HIDDEN, -1)[:, flat], y.ravel()[flat]
+    g = {k: np.zeros(SHAPES[k], np.float32) for k in ("wm", "bm")}
+    classes, member, order, parts = segments(target)
+    d = p["wc"].T @ s + p["bc"][:, None]
+    total, ln = softmax(d, classes)
+    loss = -ln.sum()
+    d /= total * over
+    d[classes, np.arange(len(target))] -= np.float32(1 / over)
+    g["wc"], g["bc"] = s @ d.T, d.sum(axis=1)
+    ds = p["wc"] @ d
+    by_class, inner = s[:, order], np.empty_like(s)
     for c, a, b in parts:
-        at, within = order[a:b], slice(c * MEMBERS, (c + 1) * MEMBERS)
-        sc = s[at]
-        lm = log_softmax(sc @ p["wm"][within].T + p["bm"][within])
-        loss -= lm[np.arange(b - a), target[at] % MEMBERS].sum()
-        d = np.exp(lm)
-        d[np.arange(b - a), target[at] % MEMBERS] -= 1
-        d /= n
-        g["wm"][within], g["bm"][within] = d.T @ sc, d.sum(axis=0)
-        ds[at] += d @ p["wm"][within]
-    into = np.zeros((x.size, HIDDEN), np.float32)
-    into[flat] = ds
-    into = into.reshape(*x.shape, HIDDEN)
-    dx = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        within = slice(c * MEMBERS, (c + 1) * MEMBERS)
+        d = p["wm"][within] @ by_class[:, a:b] + p["bm"][within][:, None]
+        total, ln = softmax(d, member[a:b])
+        loss -= ln.sum()
+        d /= total * over
+        d[member[a:b], np.arange(b - a)] -= np.float32(1 / over)
+        g["wm"][within], g["bm"][within] = d @ by_class[:, a:b].T, d.sum(axis=1)
+        inner[:, a:b] = p["wm"][within].T @ d
+    ds[:, order] += inner
+    into = np.zeros((HIDDEN, x.size), np.float32)
+    into[:, flat] = ds
+    into = into.reshape(HIDDEN, *x.shape)
+    dx, da = np.empty((2, 3 * HIDDEN, *x.shape), np.float32)
     dh = np.zeros_like(h)
     for t in reversed(range(len(x))):
         before, an, z, r, new = traced[t]
-        dh = dh + into[t]
+        dh = dh + into[:, t]
         dn = dh * (1 - z) * (1 - new * new)
-        dx[t, :, :HIDDEN] = dh * (before - new) * z * (1 - z)
-        dx[t, :, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
-        dx[t, :, 2 * HIDDEN :] = dn
-        da = dx[t].copy()
-        da[:, 2 * HIDDEN :] *= r
-        g["u"] += before.T @ da
-        dh = (dh * z + da @ p["u"].T) * keep[t][:, None]
-    dx = dx.reshape(-1, 3 * HIDDEN)
-    ids = x.ravel()
-    g["wx"], g["b"] = p["emb"][ids].T @ dx, dx.sum(axis=0)
-    de = dx @ p["wx"].T
-    by = np.argsort(ids, kind="stable")
+        dx[:HIDDEN, t] = dh * (before - new) * z * (1 - z)
+        dx[HIDDEN : 2 * HIDDEN, t] = dn * an * r * (1 - r)
+        dx[2 * HIDDEN :, t] = dn
+        da[: 2 * HIDDEN, t] = dx[: 2 * HIDDEN, t]
+        da[2 * HIDDEN :, t] = dn * r
+        dh = (dh * z + p["u"] @ da[:, t]) * keep[t]
+    g["u"] = np.stack([step[0] for step in traced], axis=1).reshape(HIDDEN, -1) @ da.reshape(3 * HIDDEN, -1).T
+    dx, ids = dx.reshape(3 * HIDDEN, -1), x.ravel()
+    g["wx"], g["b"] = p["emb"][ids].T @ dx.T, dx.sum(axis=1)
+    by = np.argsort(ids.astype(np.uint16), kind="stable")
     rows, starts = np.unique(ids[by], return_index=True)
-    return loss, g, (rows, np.add.reduceat(de[by], starts, axis=0)), last
+    return loss, g, (rows, np.add.reduceat((p["wx"] @ dx).T[by], starts, axis=0)), last
 
 
 def descend(p: dict, q: dict, g: dict, emb: tuple, rate: float) -> None:
@@ -145,10 +171,10 @@ def descend(p: dict, q: dict, g: dict, emb: tuple, rate: float) -> None:
 
 
 def pack(docs: list[np.ndarray], slots: int, seed: int = 0):
-    """(x, y, keep, doc): whole documents one after the other in ``slots`` equally long rows.
+    """(x, y, keep, doc): whole documents one after the other in ``slots`` rows.
 
-    The longest go first to the emptiest slot, so that all slots end about together; in a slot their
-    order is then shuffled. doc is -1 where a slot has ended.
+    The longest go first to the emptiest slot, so that slots end about together; in a slot their
+    order is then shuffled. The slots that end last come first. doc is -1 where a slot has ended.
     """
     slots = max(1, min(slots, len(docs)))
     load = [(0, s) for s in range(slots)]
@@ -161,8 +187,8 @@ def pack(docs: list[np.ndarray], slots: int, seed: int = 0):
     x, y = np.full((slots, steps), END, np.uint16), np.full((slots, steps), END, np.uint16)
     keep, doc = np.ones((slots, steps), np.float32), np.full((slots, steps), -1, np.int32)
     rng = np.random.default_rng(seed)
-    for s, mine in enumerate(given):
-        at = 0
+    for s, (_, slot) in enumerate(sorted(load, reverse=True)):
+        at, mine = 0, given[slot]
         for i in rng.permutation(mine) if len(mine) > 1 else mine:
             ids = docs[i]
             end = at + len(ids)
@@ -172,10 +198,11 @@ def pack(docs: list[np.ndarray], slots: int, seed: int = 0):
 
 
 def windows(packed, length: int):
+    """Of each window, (steps, slots): only the slots that have not ended before it."""
     x, y, keep, doc = packed
     for t in range(0, x.shape[1], length):
-        part = slice(t, t + length)
-        yield np.ascontiguousarray(x[:, part].T).astype(np.int64), np.ascontiguousarray(y[:, part].T).astype(np.int64), np.ascontiguousarray(keep[:, part].T), np.ascontiguousarray(doc[:, part].T)
+        live, part = int(np.count_nonzero(doc[:, t] >= 0)), slice(t, t + length)
+        yield tuple(np.ascontiguousarray(v[:live, part].T).astype(kind, copy=False) for v, kind in ((x, np.int64), (y, np.int64), (keep, np.float32), (doc, np.int32)))
 
 
 def train(flat: np.ndarray, squares: np.ndarray, docs: list[np.ndarray], *, slots: int, length: int, rate: float, seed: int, every: int = 3) -> float:
@@ -185,28 +212,30 @@ def train(flat: np.ndarray, squares: np.ndarray, docs: list[np.ndarray], *, slot
     ``every`` is backpropagated, beginning with another one for each seed; the others only move the state.
     """
     p, q, total = views(flat), views(squares), 0.0
-    packed = pack(docs, slots, seed)
-    h = np.zeros((len(packed[0]), HIDDEN), np.float32)
+    packed, table = pack(docs, slots, seed), None
+    h = np.zeros((HIDDEN, len(packed[0])), np.float32)
     for i, (x, y, keep, doc) in enumerate(windows(packed, length)):
+        h = h[:, : x.shape[1]]
         if (i + seed) % every:
-            _, h, _ = forward(p, x, keep, h)
+            table = input_table(p) if table is None else table
+            _, h, _ = forward(p, table, x, keep, h)
             continue
-        loss, g, emb, h = gradients(p, x, y, keep, doc >= 0, h)
+        loss, g, emb, h = gradients(p, x, y, keep, doc >= 0, h, len(packed[0]) * length)
         descend(p, q, g, emb, rate)
-        total += float(loss)
+        total, table = total + float(loss), None
     return total
 
 
 def score(flat: np.ndarray, docs: list[np.ndarray], *, slots: int, length: int) -> np.ndarray:
     """ln P of each whole document."""
     p = views(flat)
-    packed = pack(docs, slots)
-    h = np.zeros((len(packed[0]), HIDDEN), np.float32)
+    packed, table = pack(docs, slots), input_table(p)
+    h = np.zeros((HIDDEN, len(packed[0])), np.float32)
     out = np.zeros(len(docs))
     for x, y, keep, doc in windows(packed, length):
-        states, h, _ = forward(p, x, keep, h)
+        states, h, _ = forward(p, table, x, keep, h[:, : x.shape[1]])
         flat_doc = doc.ravel()
         at = np.flatnonzero(flat_doc >= 0)
-        ll = log_likelihood(p, states.reshape(-1, HIDDEN)[at], y.ravel()[at])
+        ll = log_likelihood(p, states.reshape(HIDDEN, -1)[:, at], y.ravel()[at])
         out += np.bincount(flat_doc[at], weights=ll, minlength=len(docs))
     return out

@@ -11,7 +11,7 @@ the model on its documents of that round, and the copies' mean, weighted by toke
 from __future__ import annotations
 
 from collections import Counter
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,7 @@ def encode(docs: DataFrame, head: list[bytes], counts: np.ndarray, c_end: int, k
         def run(texts):
             for data in texts:
                 words = words_of(data)
-                i = np.fromiter((at(w, -1) for w in words), np.int64, len(words))
+                i = np.fromiter(map(at, words, repeat(-1)), np.int64, len(words))
                 missing, unknown = i < 0, (i < 0) | (i >= OWN)
                 ids = np.append(np.where(unknown, gru.UNKNOWN, i + 2), gru.END).astype("<u2")
                 rare = list(compress(words, missing.tolist())) if missing.any() else []
@@ -161,7 +161,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for held_batches, texts in _pools(batches, len(names) - 1, 1 << 21):
-            ln, at = gru.score(shared.value, texts, slots=192, length=20), 0
+            ln, at = gru.score(shared.value, texts, slots=384, length=32), 0
             for b in held_batches:
                 yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(ln[at : at + b.num_rows])], names=names)
                 at += b.num_rows
