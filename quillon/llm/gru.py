@@ -205,24 +205,16 @@ def windows(packed, length: int):
         yield tuple(np.ascontiguousarray(v[:live, part].T).astype(kind, copy=False) for v, kind in ((x, np.int64), (y, np.int64), (keep, np.float32), (doc, np.int32)))
 
 
-def train(flat: np.ndarray, squares: np.ndarray, docs: list[np.ndarray], *, slots: int, length: int, rate: float, seed: int, every: int = 3) -> float:
-    """Goes over the documents once, changing flat and squares; returns the loss of the windows learnt.
-
-    The state is carried through all windows, and reset where a document starts. One window in
-    ``every`` is backpropagated, beginning with another one for each seed; the others only move the state.
-    """
+def train(flat: np.ndarray, squares: np.ndarray, docs: list[np.ndarray], *, slots: int, length: int, rate: float, seed: int) -> float:
+    """Goes over the documents once, changing flat and squares; returns the loss. Every window is
+    backpropagated. The state is carried through all windows, and reset where a document starts."""
     p, q, total = views(flat), views(squares), 0.0
-    packed, table = pack(docs, slots, seed), None
+    packed = pack(docs, slots, seed)
     h = np.zeros((HIDDEN, len(packed[0])), np.float32)
-    for i, (x, y, keep, doc) in enumerate(windows(packed, length)):
-        h = h[:, : x.shape[1]]
-        if (i + seed) % every:
-            table = input_table(p) if table is None else table
-            _, h, _ = forward(p, table, x, keep, h)
-            continue
-        loss, g, emb, h = gradients(p, x, y, keep, doc >= 0, h, len(packed[0]) * length)
+    for x, y, keep, doc in windows(packed, length):
+        loss, g, emb, h = gradients(p, x, y, keep, doc >= 0, h[:, : x.shape[1]], len(packed[0]) * length)
         descend(p, q, g, emb, rate)
-        total, table = total + float(loss), None
+        total += float(loss)
     return total
 
 
