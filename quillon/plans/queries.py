@@ -8,7 +8,8 @@ from quillon.functions.text import PUNCTUATION, REMOVED, STOP_WORDS, clean
 from quillon.operators import bayes, k2
 from quillon.sources.matrices import SAMPLE, bernoulli_matrix, parent_lines, parse_parent_lines, sample_matrix
 
-TERMS = 12
+TERMS = 12  # what the unrolled SQL can do
+ALL_TERMS = 200
 
 
 def _table(spark, sf_dir, name):
@@ -35,9 +36,13 @@ def lineitem_matrix(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select(F.array(*[c.cast("int") for c in cells]).alias("v"))
 
 
-def text_matrix(spark, sf_dir):
-    docs, found, vocab = _text(spark, sf_dir, TERMS)
-    return bayes.term_matrix(docs, found, vocab, TERMS)
+def text_matrix(spark, sf_dir, terms=TERMS):
+    docs, found, vocab = _text(spark, sf_dir, terms)
+    return bayes.term_matrix(docs, found, vocab, terms)
+
+
+def full_text_matrix(spark, sf_dir):
+    return text_matrix(spark, sf_dir, ALL_TERMS)
 
 
 SQL_REVIEWS = """
@@ -139,8 +144,8 @@ def term_incidence(spark, sf_dir):
     return bayes.term_incidence(bayes.head_per_class(reviews(spark, sf_dir)))
 
 
-def term_matrix(spark, sf_dir):
-    return text_matrix(spark, sf_dir).select("doc_id", F.array_join(F.col("v").cast("array<string>"), "").alias("v"))
+def _as_digits(matrix):
+    return lambda spark, sf_dir: matrix(spark, sf_dir).select("doc_id", F.array_join(F.col("v").cast("array<string>"), "").alias("v"))
 
 
 def _held(spark, sf_dir):
@@ -232,7 +237,7 @@ QUERIES = {
     "clean_text": clean_text,
     "term_incidence": term_incidence,
     "vocabulary_topk": vocabulary_topk,
-    "term_matrix": term_matrix,
+    "term_matrix": _as_digits(text_matrix),
     "nb_predict": nb_predict,
     "nb_accuracy": nb_accuracy,
     "k2nb_1parent": _k2nb(1),
@@ -241,6 +246,11 @@ QUERIES = {
     "parent_map_text": parent_map_text,
     "snake_schedule": snake_schedule,
     "matrix_synth": matrix_synth,
+    # the whole vocabulary; unrolled SQL over so many terms is too slow, so these have none
+    "k2_greedy_u1_200": _k2(full_text_matrix, ALL_TERMS, u=1),
+    "k2_greedy_u2_200": _k2(full_text_matrix, ALL_TERMS, u=2),
+    "k2_node_order_200": _k2(full_text_matrix, ALL_TERMS, order=list(reversed(range(ALL_TERMS))), u=2),
+    "term_matrix_200": _as_digits(full_text_matrix),
 }
 
 ORACLE_SQL = {
