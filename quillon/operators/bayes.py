@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from quillon.functions.text import STOP_WORDS, clean, tokens
 
 
+def labelled(reviews: DataFrame, *, classes: tuple[tuple[int, int], ...] = ((5, 1), (1, 0))) -> DataFrame:
+    """(doc_id, text, label): all reviews of each (stars, label)."""
+    label = F.coalesce(*[F.when(F.col("stars") == stars, label) for stars, label in classes])
+    return reviews.select("doc_id", "text", label.alias("label")).where("label is not null")
+
+
 def head_per_class(reviews: DataFrame, *, num: int = 100, classes: tuple[tuple[int, int], ...] = ((5, 1), (1, 0))) -> DataFrame:
     """(doc_id, text, label): the first num reviews, by doc_id, of each (stars, label)."""
-    label = F.coalesce(*[F.when(F.col("stars") == stars, label) for stars, label in classes])
-    rows = reviews.select("doc_id", "text", label.alias("label")).where("label is not null")
+    rows = labelled(reviews, classes=classes)
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))).where(F.col("n") <= num).drop("n")
 
 

@@ -23,8 +23,9 @@ def reviews(spark, sf_dir):
     return docs.where("lang = 'en'").join(labels, "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, 5).otherwise(1).alias("stars"))
 
 
-def _text(spark, sf_dir, most):
-    docs = bayes.head_per_class(reviews(spark, sf_dir)).cache()
+def _text(spark, sf_dir, most, chosen=bayes.head_per_class):
+    """chosen: of the reviews; with bayes.labelled it is all of them."""
+    docs = chosen(reviews(spark, sf_dir)).cache()
     found = bayes.term_incidence(docs).cache()
     return docs, found, bayes.vocabulary(found, most=most)
 
@@ -36,8 +37,8 @@ def lineitem_matrix(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select(F.array(*[c.cast("int") for c in cells]).alias("v"))
 
 
-def text_matrix(spark, sf_dir, terms=TERMS):
-    docs, found, vocab = _text(spark, sf_dir, terms)
+def text_matrix(spark, sf_dir, terms=TERMS, chosen=bayes.head_per_class):
+    docs, found, vocab = _text(spark, sf_dir, terms, chosen)
     return bayes.term_matrix(docs, found, vocab, terms)
 
 
@@ -45,6 +46,10 @@ def full_text_matrix(spark, sf_dir):
     return text_matrix(spark, sf_dir, ALL_TERMS)
 
 
+def all_text_matrix(spark, sf_dir):
+    return text_matrix(spark, sf_dir, ALL_TERMS, bayes.labelled)
+
+
 SQL_REVIEWS = """
 rv AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS label FROM documents JOIN labels USING (doc_id) WHERE lang = 'en'),
 hd AS (SELECT doc_id, text, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS n FROM rv) WHERE n <= 100)"""
@@ -132,30 +137,30 @@ def head_query(spark, sf_dir):
     return bayes.head_per_class(reviews(spark, sf_dir))
 
 
-def clean_text(spark, sf_dir):
-    return bayes.head_per_class(reviews(spark, sf_dir)).select("doc_id", clean(F.col("text")).alias("text"))
+def clean_text(spark, sf_dir, chosen=bayes.head_per_class):
+    return chosen(reviews(spark, sf_dir)).select("doc_id", clean(F.col("text")).alias("text"))
 
 
-def vocabulary_topk(spark, sf_dir):
-    return _text(spark, sf_dir, 200)[2]
+def vocabulary_topk(spark, sf_dir, chosen=bayes.head_per_class):
+    return _text(spark, sf_dir, 200, chosen)[2]
 
 
-def term_incidence(spark, sf_dir):
-    return bayes.term_incidence(bayes.head_per_class(reviews(spark, sf_dir)))
+def term_incidence(spark, sf_dir, chosen=bayes.head_per_class):
+    return bayes.term_incidence(chosen(reviews(spark, sf_dir)))
 
 
 def _as_digits(matrix):
     return lambda spark, sf_dir: matrix(spark, sf_dir).select("doc_id", F.array_join(F.col("v").cast("array<string>"), "").alias("v"))
 
 
-def _held(spark, sf_dir):
-    docs, found, vocab = _text(spark, sf_dir, 200)
+def _held(spark, sf_dir, chosen=bayes.head_per_class):
+    docs, found, vocab = _text(spark, sf_dir, 200, chosen)
     vocab = vocab.cache()
     return docs, found.join(F.broadcast(vocab), "term").select("doc_id", "label", "idx"), vocab
 
 
-def nb_predict(spark, sf_dir):
-    return bayes.naive_bayes(*_held(spark, sf_dir))
+def nb_predict(spark, sf_dir, chosen=bayes.head_per_class):
+    return bayes.naive_bayes(*_held(spark, sf_dir, chosen))
 
 
 def _rule(count):
@@ -168,19 +173,24 @@ def _rule(count):
 
 
 def _k2nb(count):
-    def query(spark, sf_dir):
-        docs, held, _ = _held(spark, sf_dir)
+    def query(spark, sf_dir, chosen=bayes.head_per_class):
+        docs, held, _ = _held(spark, sf_dir, chosen)
         return bayes.naive_bayes_k2(docs, held, spark.createDataFrame(_rule(count), "node int, p1 int, p2 int"))
 
     return query
 
 
-def nb_accuracy(spark, sf_dir):
-    return bayes.accuracy(nb_predict(spark, sf_dir))
+def nb_accuracy(spark, sf_dir, chosen=bayes.head_per_class):
+    return bayes.accuracy(nb_predict(spark, sf_dir, chosen))
+
+
+def k2nb_accuracy(spark, sf_dir, chosen=bayes.head_per_class):
+    return bayes.accuracy(_k2nb(1)(spark, sf_dir, chosen))
 
 
-def k2nb_accuracy(spark, sf_dir):
-    return bayes.accuracy(_k2nb(1)(spark, sf_dir))
+def _all(query):
+    """Over every labelled review."""
+    return lambda spark, sf_dir: query(spark, sf_dir, bayes.labelled)
 
 
 def parent_map_text(spark, sf_dir):
@@ -251,6 +261,19 @@ QUERIES = {
     "k2_greedy_u2_200": _k2(full_text_matrix, ALL_TERMS, u=2),
     "k2_node_order_200": _k2(full_text_matrix, ALL_TERMS, order=list(reversed(range(ALL_TERMS))), u=2),
     "term_matrix_200": _as_digits(full_text_matrix),
+    # every labelled review; the SQL of the names without _all takes the first 100 of a class
+    "clean_text_all": _all(clean_text),
+    "term_incidence_all": _all(term_incidence),
+    "vocabulary_topk_all": _all(vocabulary_topk),
+    "nb_predict_all": _all(nb_predict),
+    "nb_accuracy_all": _all(nb_accuracy),
+    "k2nb_1parent_all": _all(_k2nb(1)),
+    "k2nb_2parents_all": _all(_k2nb(2)),
+    "k2nb_accuracy_all": _all(k2nb_accuracy),
+    "term_matrix_all": _as_digits(all_text_matrix),
+    "k2_greedy_u1_all": _k2(all_text_matrix, ALL_TERMS, u=1),
+    "k2_greedy_u2_all": _k2(all_text_matrix, ALL_TERMS, u=2),
+    "k2_node_order_all": _k2(all_text_matrix, ALL_TERMS, order=list(reversed(range(ALL_TERMS))), u=2),
 }
 
 ORACLE_SQL = {

@@ -64,3 +64,26 @@ def test_k2_and_matrix_over_200_terms_against_brute_force(spark, tables):
         got = QUERIES[f"k2_greedy_u{u}_200"](spark, at).collect()
         assert {r.child for r in got} == set(range(200))
         assert {(r.child, r.step, r.parent) for r in got if r.step} == greedy(list(matrix.values()), terms, u)
+
+
+def test_text_queries_over_all_reviews(spark, tables):
+    at, rows = tables
+    ids, run = {r[0] for r in rows}, lambda name: QUERIES[name](spark, at).collect()
+    assert {r.doc_id for r in run("clean_text_all")} == ids
+    assert {(r.doc_id, r.term) for r in run("term_incidence_all")} == {(i, w) for i, t, _ in rows for w in t.split()}
+    df = Counter(w for _, t, _ in rows for w in set(t.split()))
+    assert {r.term: r.df for r in run("vocabulary_topk_all")} == {w: n for w, n in df.items() if n >= 10} and df["lateword"] == 30
+    assert {r.doc_id: [int(x) for x in r.v] for r in run("term_matrix_all")} == matrix_of(rows)[0]
+    for name in ("nb_predict_all", "k2nb_1parent_all", "k2nb_2parents_all"):
+        assert {r.doc_id for r in run(name)} == ids
+    assert [run(name)[0].n for name in ("nb_accuracy_all", "k2nb_accuracy_all")] == [280, 280]
+    assert len(run("head_per_class")) == 200
+
+
+def test_nb_over_all_reviews_against_brute_force(spark, tables):
+    at, rows = tables
+    matrix, terms = matrix_of(rows)
+    by = {q: [sum(matrix[i][k] for i, _, label in rows if label == q) for k in range(terms)] for q in (0, 1)}
+    lp = {q: [math.log((n + 1) / (sum(by[q]) + terms)) for n in by[q]] for q in by}
+    score = lambda i, q: sum(x for x, has in zip(lp[q], matrix[i], strict=False) if has)
+    assert {r.doc_id: r.predicted for r in QUERIES["nb_predict_all"](spark, at).collect()} == {i: int(score(i, 1) > score(i, 0) + 1e-9) for i in matrix}
