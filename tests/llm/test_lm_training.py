@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillon.llm import gru
+from quillon.llm import gru, op01_lm
 
 
 def test_every_window_is_learnt_from(monkeypatch):
@@ -17,3 +17,10 @@ def test_every_window_is_learnt_from(monkeypatch):
         seen.clear()
         gru.train(gru.start(np.ones(gru.VOCABULARY)), np.full(gru.SIZE, 1e-3, np.float32), docs, slots=2, length=10, rate=0.1, seed=seed)
         assert sorted(seen) == sorted(x for d in docs for x in d.tolist())
+
+
+def test_four_thousand_words_have_ids(spark):
+    words = [f"w{i}".encode() for i in range(4094)]
+    docs = spark.createDataFrame([(1, b" ".join(words).decode())], "doc_id long, text string")
+    got = op01_lm.encode(docs, words, np.ones(len(words)), 1, ["doc_id"], "text").head()
+    assert got.n_unknown == 0 and len(set(np.frombuffer(got.ids, "<u2"))) == 4095
