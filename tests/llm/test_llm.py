@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import gru
 from quillon.llm import op02_order_minhash as op2
 from quillon.llm import op06_license as op6
 from quillon.llm import op08_simhash as op8
@@ -132,34 +131,3 @@ def test_mixing_takes_shortages_from_siblings(spark):
     got = mix(d, tree={"lang": F.col("lang"), "source": F.col("source")}, weights={"lang": {"de": 1, "en": 1}}, share=0.5, max_epochs=1)
     by = {r.lang: r.n for r in got.groupBy("lang").agg(F.sum("copies").alias("n")).collect()}
     assert by == {"de": 3, "en": 12}
-
-
-def test_lm_gradients_against_differences():
-    rng = np.random.default_rng(3)
-    ids = [rng.integers(0, 300, n).astype("<u2") for n in (40, 7, 1, 25)]
-    flat = gru.start(np.bincount(np.concatenate(ids), minlength=gru.VOCABULARY) + 1.0).astype(np.float64)
-    p = gru.views(flat)
-    packed = gru.pack(ids, 3)
-    assert sorted(x for i in range(4) for x in packed[1][packed[3] == i].tolist()) == sorted(x for d in ids for x in d.tolist())
-    x, y, keep, doc = next(gru.windows(packed, 16))
-    h = np.zeros((gru.HIDDEN, x.shape[1]))
-    loss, g, (rows, emb), _ = gru.gradients(p, x, y, keep, doc >= 0, h, 1)
-    g["emb"] = np.zeros(gru.SHAPES["emb"])
-    g["emb"][rows] = emb
-    for name, d in g.items():
-        at = np.unravel_index(np.abs(d).argmax(), d.shape)
-        was = p[name][at]
-        sides = []
-        for e in (1e-3, -1e-3):
-            p[name][at] = was + e
-            sides.append(gru.gradients(p, x, y, keep, doc >= 0, h, 1)[0])
-        p[name][at] = was
-        assert abs((sides[0] - sides[1]) / 2e-3 - d[at]) < 1e-3 * max(1, abs(d[at]))
-
-
-def test_lm_score_does_not_depend_on_packing():
-    rng = np.random.default_rng(4)
-    ids = [rng.integers(0, 2000, n).astype("<u2") for n in (300, 1, 60, 61, 2)]
-    flat = gru.start(np.ones(gru.VOCABULARY))
-    together = gru.score(flat, ids, slots=3, length=16)
-    assert np.allclose(together, [gru.score(flat, [d], slots=1, length=5)[0] for d in ids], atol=1e-2)
