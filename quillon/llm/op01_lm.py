@@ -13,7 +13,6 @@ starts the next.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,53 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillon.llm import gru
+from quillon.llm.common import Words, bytes_of, most_frequent, pieces
 from quillon.plans.settle import settle
 
 HEAD = 1 << 17  # words that are broadcast, at most: 2 MB
 OWN = gru.VOCABULARY - 2  # words with an id of their own
-PIECE = 1 << 17  # bytes of text that are hashed at a time, unless one text has more
 LN10 = float(np.log(10))
-EXACT = 4096  # counts below this have a row each in the histogram of counts
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: A random value for each byte, the same for A-Z as for a-z, and an odd base with its inverse mod 2**64.
-_VALUE = np.random.default_rng(20_240_501).integers(1 << 63, (1 << 64) - 1, 256, np.uint64)
-_VALUE[65:91] = _VALUE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-class Words:
-    """Splits and hashes texts without a step for each word.
-
-    A word's hash is the sum of value[byte] * base**i over its bytes, taken from running sums over the
-    whole buffer, then mixed.
-    """
-
-    def __init__(self):
-        self.powers = self.inverses = np.empty(0, np.uint64)
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words, text after text, and how many words each text has."""
-        whole = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        n = len(whole)
-        if n > len(self.powers):
-            size = max(n, 2 * PIECE)
-            self.powers, self.inverses = (np.cumprod(np.full(size, x, np.uint64)) for x in (_BASE, _INVERSE))
-        edges = np.flatnonzero(np.diff(~_BLANK[whole], prepend=False))  # the buffer ends with a blank
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[whole] * self.powers[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverses[starts]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        bounds = np.cumsum([len(t) + 1 for t in texts])
-        if n > 8 * PIECE:
-            self.powers = self.inverses = np.empty(0, np.uint64)  # one very long text doesn't keep its memory
-        return h, np.diff(np.searchsorted(starts, bounds), prepend=0)
-
 
 class Index:
     """Where a hash stands in ``keys``, by a few tables that the hash addresses directly."""
@@ -99,21 +57,6 @@ class Index:
         return out
 
 
-def _texts(batch, column: int = -1) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(from, to, texts): the rows of a batch, some PIECE bytes at a time."""
-    texts = batch.columns[column].to_pylist()
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= PIECE or i == len(texts) - 1:
-            yield start, i + 1, texts[start : i + 1]
-            start, held = i + 1, 0
-
-
-def _bytes_of(text_col: str):
-    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-
-
 def count_words(docs: DataFrame, text_col: str = "text", most: int = 1 << 21) -> DataFrame:
     """(h, c) over all rows, h null for the end; each task adds up ``most`` words at a time."""
 
@@ -127,7 +70,7 @@ def count_words(docs: DataFrame, text_col: str = "text", most: int = 1 << 21) ->
             return pa.RecordBatch.from_arrays([keys, pa.array(np.append(c, ends).astype(np.int64))], names=["h", "c"])
 
         for batch in batches:
-            for _, _, texts in _texts(batch):
+            for _, _, texts in pieces(batch):
                 h, _ = words(texts)
                 held.append(h)
                 n, ends = n + len(h), ends + len(texts)
@@ -137,28 +80,7 @@ def count_words(docs: DataFrame, text_col: str = "text", most: int = 1 << 21) ->
         if ends:
             yield flush()
 
-    return docs.select(_bytes_of(text_col)).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def head_of(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, int, int, int]:
-    """The most frequent words' hashes and counts, descending; the largest count that none of them has;
-    how many words there are in all, and how many different ones.
-
-    A histogram of counts, whose size does not depend on the input's, tells the cut; all words above
-    it, ``most`` at most, come to the driver.
-    """
-    bucket = F.when(F.col("c") < EXACT, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + EXACT)
-    rows = counts.where("h is not null").groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.max("c").alias("top")).collect()
-    taken, cut = 0, 0
-    for r in sorted(rows, key=lambda r: -r["b"]):
-        taken += r["n"]
-        if taken > most:
-            cut = r["top"]
-            break
-    got = counts.where(f"h is not null and c > {cut}").toArrow()
-    h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
-    by = np.lexsort((h, -c))
-    return h[by], c[by], cut, sum(r["c"] for r in rows), sum(r["n"] for r in rows)
+    return docs.select(bytes_of(text_col)).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, c_end: int, keep: list, text_col: str) -> DataFrame:
@@ -167,7 +89,7 @@ def encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, c_end: int, ke
     of the words that are not in the head)."""
     shared = docs.sparkSession.sparkContext.broadcast((head, np.log10(counts + 1.0)))
     log_end, known_end = float(np.log10(c_end + 1.0)), int(c_end > 0)
-    given = docs.select(*keep, _bytes_of(text_col).alias("__bytes"))
+    given = docs.select(*keep, bytes_of(text_col).alias("__bytes"))
     kept = given.drop("__bytes").schema
     added = StructType.fromDDL("ids binary, n_tokens bigint, n_known bigint, base_sum double, unknown_sum double, n_unknown bigint, rare array<bigint>")
     schema = StructType([*kept.fields, *added.fields])
@@ -175,7 +97,7 @@ def encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, c_end: int, ke
     def run(batches):
         words, find, logs = Words(), Index(shared.value[0]), np.append(shared.value[1], 0.0)
         for batch in batches:
-            for a, b, texts in _texts(batch):
+            for a, b, texts in pieces(batch):
                 h, n = words(texts)
                 at, of = find(h), np.repeat(np.arange(b - a), n)
                 missing, unknown = at < 0, (at < 0) | (at >= OWN)
@@ -260,7 +182,7 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
     counts = settle(count_words(docs.where(~held), text_col))
-    head, c, cut, n_words, distinct = head_of(counts)
+    head, c, cut, n_words, distinct = most_frequent(counts, HEAD)
     c_end = (counts.where("h is null").head() or {"c": 0})["c"]
     all_n = n_words + c_end
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillon.llm import gru, op01_lm
+from quillon.llm.common import Words
 
 
 def ids_of(rng, high, sizes):
@@ -79,14 +80,14 @@ def test_score_does_not_depend_on_packing():
 
 def test_four_thousand_words_have_ids(spark):
     words = [f"w{i}".encode() for i in range(4094)]
-    h, n = op01_lm.Words()([b" ".join(words)])
+    h, n = Words()([b" ".join(words)])
     docs = spark.createDataFrame([(1, b" ".join(words).decode())], "doc_id long, text string")
     got = op01_lm.encode(docs, h, np.ones(len(words)), 1, ["doc_id"], "text").head()
     assert n.tolist() == [4094] and got.n_unknown == 0 and len(set(np.frombuffer(got.ids, "<u2"))) == 4095
 
 
 def test_words_are_told_apart_as_bytes_split_does():
-    rng, words = random.Random(6), op01_lm.Words()
+    rng, words = random.Random(6), Words()
     texts = ["".join(rng.choice(["a", "B", "b", "é", "É", " ", "\n", "\x0b", "\x1f", "\u00a0", "."]) for _ in range(rng.randrange(60))).encode() for _ in range(300)] + [b"", b" ", b"x" * 3_000_000]
     h, n = words(texts)
     split = [t.lower().split() for t in texts]
@@ -112,7 +113,7 @@ def test_base_score_by_brute_force_and_model_beats_it(spark, monkeypatch):
     n, v = sum(c.values()), len(c)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (1 << 17, 64):
-        monkeypatch.setattr(op01_lm.head_of, "__defaults__", (most,))
+        monkeypatch.setattr(op01_lm, "HEAD", most)
         got = op01_lm.lm_score(docs, rounds=3, copies=2).collect()
         assert len(got) == len(rows)
         for r in got:
