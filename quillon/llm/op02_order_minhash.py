@@ -2,8 +2,10 @@
 
 The k-mers of a text, here of words, are numbered by occurrence, so that a repeat is an element of
 its own. A hash deals the numbered k-mers into bins; of each bin the ``least`` minimal ones are
-selected, put back into text order, and hashed as a tuple. A tuple survives an edit only where both
-the k-mers and their order do, so that likeness follows edit distance and not just the set of k-mers.
+selected, put back into text order, and hashed as a tuple. A bin with fewer takes the next ones in the
+order of hashes, that is from the bins after it, so that every tuple carries order, also in short texts.
+A tuple survives an edit only where both the k-mers and their order do, so that likeness follows edit
+distance and not just the set of k-mers.
 Only SQL expressions over arrays are used. Arrays of longs that pack (hash, position) stand for
 arrays of pairs: they sort without an interpreted comparison.
 """
@@ -21,13 +23,13 @@ POS, TOP, BIN_AT = 26, (1 << 37) - 1, 58
 
 
 def signature(df: DataFrame, text: Column, out: str, *, k: int = WORDS_IN_KMER, least: int = LEAST) -> DataFrame:
-    """df and ``out``: an array of BINS 32-bit hashes, null for empty bins. Fewer words than k make
-    one k-mer; no words, or a null text, make an array of nulls."""
+    """df and ``out``: an array of BINS 32-bit hashes. Fewer words than k make one k-mer; no words, or a
+    null text, make an array of nulls."""
     at = lambda c, i: F.get(c, i)
     pos = lambda x: x.bitwiseAND(F.lit((1 << POS) - 1))
     bin_of = lambda x: F.shiftright(x, BIN_AT)
     pack = lambda h, p: F.shiftleft(h.bitwiseAND(F.lit(TOP)), POS).bitwiseOR(p)
-    df = df.withColumn("__w", F.regexp_extract_all(text, F.lit(r"[^ \t-\r]+"), F.lit(0)))
+    df = df.withColumn("__w", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+"), F.lit(0)))
     starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - (k - 1), F.lit(1)))
     packed = F.transform(starts, lambda i: pack(F.xxhash64(F.slice("__w", i, k)), i.cast("long")))
     df = df.withColumn("__s", F.when(F.size("__w") == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(packed))).drop("__w")
@@ -39,15 +41,18 @@ def signature(df: DataFrame, text: Column, out: str, *, k: int = WORDS_IN_KMER,
     numbered = F.when(F.size(F.array_distinct("__k")) == F.size("__k"), F.transform("__s", lambda x: renamed(x, F.lit(0)))).otherwise(F.zip_with("__s", number, renamed))
     df = df.withColumn("__e", F.sort_array(numbered)).drop("__s", "__k")
     first = F.filter("__e", lambda x, i: (i < least) | (bin_of(at("__e", i - least)) != bin_of(x)))
-    # (bin, position, hash): text order within a bin
-    ordered = F.sort_array(F.transform(first, lambda x: F.shiftleft(bin_of(x), BIN_AT).bitwiseOR(F.shiftleft(pos(x), 32)).bitwiseOR(F.shiftright(x, POS).bitwiseAND(F.lit(0xFFFFFFFF)))))
-    df = df.withColumn("__o", ordered).drop("__e")
-    part = lambda x, i, j: F.when(bin_of(at("__o", i + j)) == bin_of(x), at("__o", i + j).bitwiseAND(F.lit(0xFFFFFFFF)))
-    tuples = F.transform("__o", lambda x, i: F.struct(bin_of(x).cast("int").alias("b"), F.xxhash64(*[F.coalesce(part(x, i, j), F.lit(-1)) for j in range(least)]).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), ((i == 0) | (bin_of(at("__o", i - 1)) != bin_of(x))).alias("first")))
-    df = df.withColumn("__t", F.map_from_entries(F.transform(F.filter(tuples, lambda t: t["first"]), lambda t: F.struct(t["b"], t["h"])))).drop("__o")
-    # __t stands here twice: named once, within a lambda, it would be made inline and anew for each bin
-    looked_up = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at("__t", b))
-    return df.withColumn(out, F.when(F.size("__t") == 0, F.array_repeat(F.lit(None).cast("bigint"), BINS)).otherwise(looked_up)).drop("__t")
+    df = df.withColumn("__f", first).drop("__e")
+
+    def tuple_of(start: Column) -> Column:
+        """The ``least`` elements from ``start`` on, cyclically, as (position, hash) in text order, hashed as one."""
+        picked = F.array(*[F.get("__f", (start + j) % F.size("__f")) for j in range(least)])
+        placed = F.sort_array(F.transform(picked, lambda x: F.shiftleft(pos(x), 37).bitwiseOR(F.shiftright(x, POS))))
+        return F.element_at(F.transform(F.array(placed), lambda o: F.xxhash64(*[F.get(o, j).bitwiseAND(F.lit(TOP)) for j in range(least)]).bitwiseAND(F.lit(0xFFFFFFFF))), 1)
+
+    # __f stands here more than once: named once, within a lambda, it would be made inline and anew for each bin
+    starts = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.size(F.filter("__f", lambda x: bin_of(x) < b)))
+    none = F.array_repeat(F.lit(None).cast("bigint"), BINS)
+    return df.withColumn(out, F.when(F.size("__f") == 0, none).otherwise(F.transform(starts, tuple_of))).drop("__f")
 
 
 def likeness(a: str, b: str) -> Column:
