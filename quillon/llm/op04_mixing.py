@@ -27,7 +27,8 @@ def _weight(level: str, weights: dict) -> Column:
 
 
 def budgets(supplies: DataFrame, names: list[str], weights: dict, total: Column, max_epochs: int) -> DataFrame:
-    """A budget for each leaf of ``supplies`` (names..., supply), as a double.
+    """A budget for each leaf of ``supplies`` (names..., supply), as a double. Leaves below a node of
+    weight 0 get none, and count as no capacity of the nodes above them.
 
     From the root down, each node shares its budget among its children by weight, none getting more
     than its leaves can give in ``max_epochs``; what a child can't take goes to its siblings, by
@@ -36,12 +37,13 @@ def budgets(supplies: DataFrame, names: list[str], weights: dict, total: Column,
     (budget less the capacities before it, over the weights from it on) reaches its ratio; the others
     get the level of the first that is not, which is the highest of theirs.
     """
-    nodes = supplies.withColumn("cap", F.col("supply") * max_epochs)
+    weighs = reduce(lambda a, b: a & b, [_weight(n, weights) > 0 for n in names])
+    nodes = supplies.where(weighs).withColumn("cap", F.col("supply") * max_epochs)
     root = nodes.agg(F.sum("cap").alias("all")).select(F.least(total, F.col("all")).cast("double").alias("budget"))
     parent = root
     for k, name in enumerate(names):
         above, path = names[:k], names[: k + 1]
-        children = nodes.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name, weights)).where("w > 0")
+        children = nodes.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name, weights))
         children = children.join(parent, above) if above else children.crossJoin(F.broadcast(parent))  # one row
         order = Window.partitionBy(*above).orderBy(F.col("cap") / F.col("w"), name) if above else Window.partitionBy().orderBy(F.col("cap") / F.col("w"), name)
         before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -132,8 +134,9 @@ WITH d AS (
   SELECT doc_id, CASE WHEN coalesce(source, '') IN ({quoted(BOOKS)}) THEN 'books' WHEN coalesce(source, '') IN ({quoted(REFERENCE)}) THEN 'reference' ELSE 'web' END AS domain,
          coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
   FROM documents
-), leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) AS BIGINT) * 2 AS cap FROM d GROUP BY ALL),
-b0 AS (SELECT CAST(least(CAST(floor(sum(supply) * 0.5) AS BIGINT), sum(cap)) AS DOUBLE) AS budget FROM leaf),{','.join(steps)},
+), every AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply, CAST(sum(n_tokens) AS BIGINT) * 2 AS cap FROM d GROUP BY ALL),
+leaf AS (SELECT * FROM every WHERE {' AND '.join(f"{weight(n)} > 0" for n in WEIGHTS)}),
+b0 AS (SELECT CAST(least((SELECT CAST(floor(sum(supply) * 0.5) AS BIGINT) FROM every), sum(cap)) AS DOUBLE) AS budget FROM leaf),{','.join(steps)},
 p AS (SELECT domain, lang, source, CAST(floor(budget) AS BIGINT) AS budget, supply FROM b3 JOIN leaf USING (domain, lang, source)),
 q AS (SELECT *, coalesce(budget // nullif(supply, 0), 0) AS e FROM p),
 o AS (SELECT d.*, e, budget - e * supply AS room, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || e || ':' || doc_id)) AS upto FROM d JOIN q USING (domain, lang, source)),
