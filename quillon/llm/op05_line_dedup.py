@@ -15,10 +15,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import routed
 from quillon.plans.settle import discard, new_path, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+HEAVY = 4096
 
 
 def ascii_lower(text: Column) -> Column:
@@ -34,15 +36,18 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str, str]] = []  # level, table, path
         self.tallies: list[DataFrame] = []
+        self.tables: list[tuple[str, str]] = []  # all that exist
 
     def _write(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"run_{uuid.uuid4().hex}", new_path(self.spark)
+        self.tables.append((name, path))
         df.write.option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name, path
 
     def _drop(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
         discard(self.spark, path)
+        self.tables.remove((name, path))
 
     def add(self, lines: DataFrame) -> None:
         """lines: (doc_id, h1, h2), each hash once per document, ids no larger than any added before."""
@@ -73,16 +78,19 @@ class LineRuns:
         return out
 
     def at_least(self, n: int) -> DataFrame:
-        """(h1, h2, keep_id) of the hashes that n or more documents hold."""
+        """(h1, h2, keep_id, n) of the hashes that n or more documents hold."""
         all_runs = self._union([r[1] for r in self.runs])
         for t in self.tallies:
             all_runs = all_runs.unionByName(t, allowMissingColumns=True)
         total = all_runs.groupBy(*KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("n_docs").alias("n"))
-        out = settle(total.where(F.col("n") >= n).drop("n"))
-        for _, name, path in self.runs:
-            self._drop(name, path)
-        self.runs, self.tallies = [], []
-        return out
+        return settle(total.where(F.col("n") >= n))
+
+    def close(self) -> None:
+        """Drops all runs."""
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, path)
+        self.runs, self.tallies, self.tables = [], [], []
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -97,7 +105,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     table gives no rows. Columns of docs that are named like the three new ones are replaced.
 
     Keys are compared by 128 bits of xxHash64 under two seeds. Only hashes, ids and line numbers are
-    indexed; each text is shuffled once, to meet the numbers of the lines it loses.
+    indexed; a text is shuffled once, to meet the numbers of the lines it loses, or not at all if it
+    surely loses none.
     """
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).head()["c"] if batches > 1 else []
@@ -117,13 +126,22 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = settle(rows, partition_by=("batch",))
 
     runs = LineRuns(spark, fanout=fanout)
-    for b in range(len(cuts) + 1):
-        runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
-    frequent = runs.at_least(min_docs)
-
-    lost = lines.join(frequent, KEY).where(F.col("doc_id") != F.col("keep_id")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__lost"))
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__lost")
-    out = docs.join(lost, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left").drop("__id", "__row")
+    try:
+        for b in range(len(cuts) + 1):
+            runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
+        frequent = runs.at_least(min_docs)
+    finally:
+        runs.close()
+
+    # keys that hold a 4096th of all lines of frequent keys, 4096 at most, are broadcast; the others are not hot
+    total = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+    heavy = F.broadcast(frequent.where(F.col("n") * HEAVY >= total).drop("n"))
+    others = lines.join(heavy.select(*KEY), KEY, "left_anti").join(frequent.where(F.col("n") * HEAVY < total).drop("n"), KEY)
+    lost = lines.join(heavy, KEY).unionByName(others).where(F.col("doc_id") != F.col("keep_id")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__lost"))
+    lost = settle(lost.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__lost"))
+    some, whole = routed(docs, [id_col, F.xxhash64(text)], lost.select("__id", "__row"))  # texts that lose nothing stay where they are
+    some = some.join(lost, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left").drop("__id", "__row")
+    out = some.unionByName(whole.withColumn("__lost", F.lit(None).cast("array<int>")))
     out = out.withColumn("__lines", F.split(text, "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
