@@ -6,6 +6,7 @@ import functools
 import re
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,36 +42,43 @@ FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlic
 #: What a notice of each kind adds to the score: 1 - the product of (1 - weight).
 WEIGHTS = {"base": 0.6, "notice": 0.8, "expression": 0.95}
 
-TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+TOKEN = re.compile(rb"[ \t\x0b-\r]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
+BY_LENGTH = sorted(FREEDOM.items(), key=lambda x: -len(x[0]))
+
+
 def freedom(licence: str) -> float:
-    return next((v for k, v in sorted(FREEDOM.items(), key=lambda x: -len(x[0])) if licence.startswith(k)), 0.5)
+    return next((v for k, v in BY_LENGTH if licence.startswith(k)), 0.5)
 
 
-def to_rpn(text: str) -> list[str]:
-    """The longest expression that ``text`` starts with, in reverse Polish order; [] if there is none.
+def to_rpn(data: bytes, start: int = 0, end: int | None = None) -> list[str]:
+    """The longest expression that stands at ``start``, in reverse Polish order; [] if there is none.
 
     Shunting-yard: WITH binds tightest, then AND, then OR; all from left to right. An expression ends
-    at the end of its line, or where two licences follow each other without an operator.
+    at ``end`` or the end of its line, or where two licences follow each other without an operator.
+    Nothing is copied for a token, so that time is linear in the expression.
     """
+    end = len(data) if end is None else end
     out: list[str] = []
     ops: list[str] = []
-    whole: list[str] = []
-    want, at, line = True, 0, text.split("\n", 1)[0]
-    while m := TOKEN.match(line, at):
-        t, at = m[1].lower().rstrip(".:-"), m.end()
+    whole: tuple[int, list[str]] = (0, [])  # how much of out, and the operators that follow it
+    want, at, depth = True, start, 0
+    while m := TOKEN.match(data, at, end):
+        t, at = m[1].decode().lower().rstrip(".:-"), m.end()
         if t == "(":
             if not want:
                 break
             ops.append(t)
+            depth += 1
         elif t == ")":
-            if want or "(" not in ops:
+            if want or not depth:
                 break
             while (o := ops.pop()) != "(":
                 out.append(o)
+            depth -= 1
         elif t in BINDS:
             if want:
                 break
@@ -84,9 +92,9 @@ def to_rpn(text: str) -> list[str]:
                 break
             out.append(t)
             want = False
-        if not want and "(" not in ops:
-            whole = out + ops[::-1]
-    return whole
+        if not want and not depth:
+            whole = len(out), ops[::-1]  # without brackets, three operators at most
+    return out[: whole[0]] + whole[1]
 
 
 def evaluate(rpn: list[str]) -> tuple[float, set[str]]:
@@ -101,7 +109,9 @@ def evaluate(rpn: list[str]) -> tuple[float, set[str]]:
         if t == "with":
             stack.append(((a + 1) / 2, names_a))
         else:
-            stack.append(((max if t == "or" else min)(a, b), names_a | names_b))
+            more, fewer = (names_a, names_b) if len(names_a) >= len(names_b) else (names_b, names_a)
+            more |= fewer
+            stack.append(((max if t == "or" else min)(a, b), more))
     return stack[0]
 
 
@@ -116,29 +126,31 @@ def automaton() -> ahocorasick.Automaton:
 
 def scan(data: bytes) -> tuple:
     words = data.translate(ASCII_WORDS).split()
-    line = f" {b' '.join(words).decode('latin-1')} "
+    line = b" ".join([b"", *words, b""])
     base: list[int] = []
     base_labels, labels, kinds, free, expressions = set(), set(), set(), [], []
-    counted = at = 0  # words before the place ``at``
-    ends: list[int] | None = None
-    for end, (length, n, (kind, label)) in automaton().iter(line):
-        start = end - length
-        if start < at:
-            counted = at = 0
-        counted += line.count(" ", at, start)
-        at = start
+    blanks: np.ndarray | None = None  # in line: as many stand before a phrase as words do
+    ends: list[int] = []  # of the words in data
+    newline = -1  # the first one after the last tag
+    for end, (length, n, (kind, label)) in automaton().iter(line.decode("latin-1")):
+        if blanks is None:
+            blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        word = int(np.searchsorted(blanks, end - length))
         if kind == "base":
-            base.append(counted)
+            base.append(word)
             base_labels.add(label)
             free.append(freedom(label) if label != "reserved" else 0.0)
         elif kind == "notice":
             labels.add(label)
             free.append(freedom(label))
         else:
-            if ends is None:
+            if not ends:
                 ends = [m.end() for m in WORD.finditer(data)]
-            after = data[ends[counted + n - 1] :]
-            rpn = to_rpn(after[1 : after.find(b"\n")].decode("utf-8", "replace") if b"\n" in after else after[1:].decode("utf-8", "replace")) if after[:1] == b":" else []
+            after = ends[word + n - 1]
+            if newline < after:
+                newline = data.find(b"\n", after)
+                newline = len(data) if newline < 0 else newline
+            rpn = to_rpn(data, after + 1, newline) if data[after : after + 1] == b":" else []
             if not rpn:
                 continue
             value, names = evaluate(rpn)
@@ -167,7 +179,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other notices and of the licences in ``SPDX-License-Identifier:`` expressions; expressions has
     these in reverse Polish order. score (0 to 1) tells how surely the text carries a licence notice;
     freedom is the strictest use that any notice leaves (null without one). A null or empty text has
-    no words, empty labels and score 0. Rows stay as they are, repeated ones too; an empty table gives
+    no words, empty labels and score 0. Only ASCII blanks part the tokens of an expression. Rows stay as they are, repeated ones too; an empty table gives
     no rows. Nothing is shuffled.
     """
     return map_texts(docs, [F.col(id_col).alias("doc_id")], COLUMNS, lambda: lambda texts: map(scan, texts), text_col=text_col)
