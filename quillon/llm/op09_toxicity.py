@@ -67,14 +67,19 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 16384, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights that are not 0, and the bias.
 
-    ``fit_rows`` bounds the sample that is learnt from: the labelled rows with the smallest hashes of
-    their id. Its texts go to one task, which sees them ``epochs`` times; only the weights come to the
+    ``fit_rows`` bounds the sample that is learnt from: the labelled ids with the smallest hashes, one
+    row of each (of an id that repeats, the text with the smallest hash). Its texts go to one task, which sees them ``epochs`` times; only the weights come to the
     driver, 2**20 at most and far fewer under L1. A document with several labels counts as toxic if
     any says so; null labels and null ids don't count. Without labelled rows everything scores 0.
     """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
-    known = known.where(F.col("__id").isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("b"), F.col("__y").cast("int").alias("y"), F.xxhash64("__id").alias("o"))
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y")).where(F.col("__id").isNotNull())
+    n = known.count()
+    if n > fit_rows:  # somewhat more than the sample, by hash, so that little is sorted to cut it
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * fit_rows / n + 200 / n)))
+    known = known.orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id").limit(fit_rows)
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).groupBy("__id").agg(F.min_by(text, F.xxhash64(text)).alias("b"), F.max("__y").cast("int").alias("y"))
+    rows = rows.select("b", "y", F.xxhash64("__id").alias("o"))
 
     def train(batches):
         model, hashes, seen = Ftrl(alpha, beta, l1, l2), WordHashes(), []
