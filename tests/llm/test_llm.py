@@ -71,7 +71,7 @@ def test_pii_against_brute_force(spark):
 def test_license():
     words, base, first, last, base_labels, labels, score, free, exprs = op6.scan(b"CC BY. SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0\nall rights reserved")
     assert (base, first, base_labels, exprs) == (2, 0, "cc-by,reserved", "mit gpl-2.0 or apache-2.0 and") and "mit" in labels and 0 < score < 1
-    assert op6.to_rpn("mit or") == ["mit"] and op6.to_rpn(")") == [] and op6.evaluate(op6.to_rpn("gpl-3.0 or mit"))[0] == 1.0
+    assert op6.to_rpn(b"mit or") == ["mit"] and op6.to_rpn(b")") == [] and op6.evaluate(op6.to_rpn(b"gpl-3.0 or mit"))[0] == 1.0
 
 
 def test_bpe_cuts_and_round_trip(spark):
