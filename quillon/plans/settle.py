@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_OPEN: list[list[str]] = []  # what was settled within each open scratch()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +41,12 @@ def settle(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder now, and return a DataFrame that reads it back.
 
     A lost executor then costs no more than the tasks it ran: what was written is never recomputed.
+    The table stays until the scratch() around it ends, or else until the folder is cleared: a
+    DataFrame that an operator returns still reads what the operator settled.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,3 +56,14 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving, also by an error, what was settled within; results must have been written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            discard(spark, path)
