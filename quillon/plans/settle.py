@@ -37,16 +37,16 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def settle(df: DataFrame, *, partition_by: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder now, and return a DataFrame that reads it back.
 
     A lost executor then costs no more than the tasks it ran: what was written is never recomputed.
-    The table stays until the scratch() around it ends, or else until the folder is cleared: a
-    DataFrame that an operator returns still reads what the operator settled.
+    The table stays until the scratch() around it ends (``outer``: the one around that), or else until
+    the folder is cleared: a DataFrame that an operator returns may still read what was settled for it.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    for opened in _OPEN[: -1 if outer else None][-1:]:
+        opened.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,7 +60,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving, also by an error, what was settled within; results must have been written by then."""
+    """Deletes on leaving, also by an error, what was settled within; what is still wanted must have been
+    settled ``outer`` by then."""
     _OPEN.append([])
     try:
         yield
