@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import routed
-from quillon.plans.settle import discard, new_path, settle
+from quillon.plans.settle import discard, new_path, scratch, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -123,22 +123,23 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     before = lambda i, h: F.get("l", i - 1)[h]
     marked = F.transform("l", lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), ((i == 0) | (before(i, "h1") != x["h1"]) | (before(i, "h2") != x["h2"])).alias("first")))
     rows = rows.select("doc_id", "row", batch.cast("int").alias("batch"), F.inline(marked))
-    lines = settle(rows, partition_by=("batch",))
-
-    runs = LineRuns(spark, fanout=fanout)
-    try:
-        for b in range(len(cuts) + 1):
-            runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
-        frequent = runs.at_least(min_docs)
-    finally:
-        runs.close()
-
-    # keys that hold a 4096th of all lines of frequent keys, 4096 at most, are broadcast; the others are not hot
-    total = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
-    heavy = F.broadcast(frequent.where(F.col("n") * HEAVY >= total).drop("n"))
-    others = lines.join(heavy.select(*KEY), KEY, "left_anti").join(frequent.where(F.col("n") * HEAVY < total).drop("n"), KEY)
-    lost = lines.join(heavy, KEY).unionByName(others).where(F.col("doc_id") != F.col("keep_id")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__lost"))
-    lost = settle(lost.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__lost"))
+    with scratch(spark):
+        lines = settle(rows, partition_by=("batch",))
+
+        runs = LineRuns(spark, fanout=fanout)
+        try:
+            for b in range(len(cuts) + 1):
+                runs.add(lines.where((F.col("batch") == b) & F.col("first")).select("doc_id", *KEY))
+            frequent = runs.at_least(min_docs)
+        finally:
+            runs.close()
+
+        # keys that hold a 4096th of all lines of frequent keys, 4096 at most, are broadcast; the others are not hot
+        total = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+        heavy = F.broadcast(frequent.where(F.col("n") * HEAVY >= total).drop("n"))
+        others = lines.join(heavy.select(*KEY), KEY, "left_anti").join(frequent.where(F.col("n") * HEAVY < total).drop("n"), KEY)
+        lost = lines.join(heavy, KEY).unionByName(others).where(F.col("doc_id") != F.col("keep_id")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__lost"))
+        lost = settle(lost.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__lost"), outer=True)
     some, whole = routed(docs, [id_col, F.xxhash64(text)], lost.select("__id", "__row"))  # texts that lose nothing stay where they are
     some = some.join(lost, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left").drop("__id", "__row")
     out = some.unionByName(whole.withColumn("__lost", F.lit(None).cast("array<int>")))
