@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillon.plans.settle import settle
-
 #: For bytes.translate: ASCII letters lower-cased, digits and bytes from 0x80 kept, all else made a space.
 ASCII_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -84,15 +82,15 @@ class Words:
         return h, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
-def pieces(batch, column: int = -1) -> Iterator[tuple[int, int, list[bytes]]]:
+def pieces(batch, column: int = -1, rows: int = 64) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from, to, texts): the rows of a batch, some PIECE bytes at a time."""
-    texts = batch.columns[column].to_pylist()
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= PIECE or i == len(texts) - 1:
-            yield start, i + 1, texts[start : i + 1]
-            start, held = i + 1, 0
+    start, texts, held = 0, [], 0
+    for at in range(0, batch.num_rows, rows):
+        texts += batch.columns[column].slice(at, rows).to_pylist()
+        held = sum(map(len, texts))
+        if held >= PIECE or at + rows >= batch.num_rows:
+            yield start, start + len(texts), texts
+            start, texts = start + len(texts), []
 
 
 def bytes_of(text_col: str):
@@ -129,7 +127,7 @@ def routed(rows: DataFrame, on: list, keys: DataFrame, bits: int = 22) -> tuple[
     """
     at = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << bits))
     words = keys.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__m"))
-    words = F.broadcast(settle(words))
+    words = F.broadcast(words)
     placed = rows.withColumn("__p", F.pmod(F.xxhash64(*on), F.lit(1 << bits)))
     met = placed.join(words, F.shiftright("__p", 6) == F.col("__w"), "left")
     hit = F.coalesce(F.expr("__m & shiftleft(1L, cast(__p & 63 as int)) != 0"), F.lit(False))

@@ -82,16 +82,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = rows.select("b", "y", F.xxhash64("__id").alias("o"))
 
     def train(batches):
-        model, hashes, seen = Ftrl(alpha, beta, l1, l2), WordHashes(), []
+        """The features of a batch's rows are held in one array, which goes back to the system as a whole."""
+        model, hashes, held = Ftrl(alpha, beta, l1, l2), WordHashes(), []
         for batch in batches:
-            for data, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen.append((np.append(np.unique(features(data.as_py(), hashes)), 1 << BITS).astype(np.int32), y))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [np.append(np.unique(features(data.as_py(), hashes)), 1 << BITS).astype(np.int32) for data in part.column(0)]
+                held.append((np.concatenate(found), np.cumsum([len(f) for f in found]), part.column(1).to_pylist()))
         for _ in range(epochs):
-            for at, y in seen:
-                model.update(at, y)
+            for found, ends, labels in held:
+                for a, b, y in zip([0, *ends[:-1].tolist()], ends.tolist(), labels, strict=True):
+                    model.update(found[a:b], y)
         every = np.arange((1 << BITS) + 1)
         w = model.weights(every)
-        at = every[w != 0] if seen else every[:0]
+        at = every[w != 0] if held else every[:0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], names=["i", "w"])
 
     got = rows.repartition(1).sortWithinPartitions("o", "b").mapInArrow(train, "i int, w double").toArrow()
