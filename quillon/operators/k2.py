@@ -1,7 +1,7 @@
 """Structure learning: parents of each feature by greedy search on the log marginal likelihood.
 
 A matrix is (v array<int>), a row an observation. Identical rows are counted first. One level scores
-all candidates of all children in one aggregation: the candidate table, bounded by CHUNK rows, is
+all candidates of all children in one aggregation: the candidate table, made by a join in blocks of CHUNK rows, is
 broadcast to the rows, and only partial counts by parent configuration are shuffled. Configurations
 that don't occur add nothing to a score and are never made.
 """
@@ -21,11 +21,22 @@ def _cell(node):
     return F.element_at("v", node + 1)
 
 
-def compressed(matrix: DataFrame) -> DataFrame:
-    """(v, w): distinct observations and how often they occur. Null cells are rejected."""
-    bad = F.exists("v", lambda x: x.isNull()) | F.col("v").isNull()
-    checked = F.when(bad, F.raise_error(F.lit("a matrix has no null cells")).cast("array<int>")).otherwise(F.col("v"))
-    return settle(matrix.groupBy(checked.alias("v")).agg(F.count(F.lit(1)).alias("w")))
+def compressed(matrix: DataFrame, n: int | None = None, *, pays: float = 0.5) -> DataFrame:
+    """(v, w): observations and how often they occur. Null cells are rejected, and with n every row that
+    doesn't have n features.
+
+    Equal rows are added up where at most ``pays`` of the rows are estimated to differ; else the rows stay
+    where they are, as a shuffle of all of them would save little.
+    """
+    rows = matrix.select("v")
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("v")).alias("kinds"), F.count_if(F.col("v").isNull() | F.exists("v", lambda x: x.isNull())).alias("bad"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).head()
+    if found["bad"]:
+        raise ValueError("a matrix has no null cells")
+    if n is not None and found["rows"] and (found["least"], found["most"]) != (n, n):
+        raise ValueError(f"the matrix has rows of {found['least']} to {found['most']} features, not {n}")
+    if found["kinds"] > pays * found["rows"]:
+        return settle(rows.withColumn("w", F.lit(1).cast("long")))
+    return settle(rows.groupBy("v").agg(F.count(F.lit(1)).alias("w")))
 
 
 def attribute_domains(matrix: DataFrame) -> DataFrame:
@@ -59,17 +70,45 @@ def scores(weighted: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return by_cfg.groupBy("child", "cand").agg(F.sum(term).alias("score"))
 
 
-def _best(weighted: DataFrame, rows: list[tuple], k: int) -> dict[int, tuple[float, int]]:
-    """Of each child the best candidate, ties to the smaller feature; a row for each child comes back."""
+def score_over_product(matrix: DataFrame, child: int, parents: list[int]) -> DataFrame:
+    """(score): of one child, from a row for every combination of its parents' values, also those that
+    don't occur; they add ln 1. The same number as ``scores`` gives, which never makes those rows."""
+    values = lambda f: matrix.select(_cell(F.lit(f)).alias(f"c{f}")).distinct()
+    every = matrix.sparkSession.range(1).select()
+    for p in parents:
+        every = every.crossJoin(F.broadcast(values(p)))  # domains are small
+    r = values(child).count()
+    names = [f"c{p}" for p in parents]
+    counts = matrix.groupBy(*[_cell(F.lit(p)).alias(f"c{p}") for p in parents], _cell(F.lit(child)).alias("x")).agg(F.count(F.lit(1)).alias("a"))
+    by = counts.groupBy(*names).agg(F.sum("a").alias("n"), F.sum(log_factorial(F.col("a"))).alias("inner"))
+    met = every.join(by, names, "left") if names else by
+    term = log_factorial(F.lit(r - 1)) - log_factorial(F.coalesce("n", F.lit(0)) + r - 1) + F.coalesce("inner", F.lit(0.0))
+    return met.agg(F.sum(term).alias("score"))
+
+
+def _best(weighted: DataFrame, state: list[tuple], features: DataFrame, k: int) -> dict[int, tuple[float, int]]:
+    """Of each child its best candidate, ties to the smaller feature. state: (child, r, place, p1..) of the
+    children that are still searched, in their order; features: (z, place). Candidates are made by a join
+    for blocks of children with CHUNK candidates at most, or of one child; a row for each child comes back."""
     best: dict[int, tuple[float, int]] = {}
-    spark = weighted.sparkSession
-    schema = "child int, r int" + "".join(f", p{t} int" for t in range(1, k + 1))
-    for i in range(0, len(rows), CHUNK):
-        found = scores(weighted, spark.createDataFrame(rows[i : i + CHUNK], schema), k)
+    spark, before = weighted.sparkSession, [f"p{t}" for t in range(1, k)]
+    schema = "child int, r int, place int" + "".join(f", {p} int" for p in before)
+    at = 0
+    while at < len(state):
+        end, held = at + 1, state[at][2]
+        while end < len(state) and held + state[end][2] <= CHUNK:
+            held, end = held + state[end][2], end + 1
+        block, at = spark.createDataFrame(state[at:end], schema), end
+        if k:
+            earlier = features.select(F.col("z").alias(f"p{k}"), F.col("place").alias("of"))
+            new = F.col("of") < F.col("place")
+            for p in before:
+                new = new & (F.col(f"p{k}") != F.col(p))
+            block = F.broadcast(block).join(earlier, new)
+        found = scores(weighted, block.drop("place", "of"), k)
         top = found.groupBy("child").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("cand")).alias("c"), "score")).alias("b"))
-        for child, b in top.collect():
-            best[child] = max(best.get(child, (float("-inf"), 0, 0.0)), (b["s"], b["c"], b["score"]))
-    return {child: (b[2], -b[1]) for child, b in best.items()}
+        best |= {child: (b["score"], -b["c"]) for child, b in top.collect()}
+    return best
 
 
 def k2(matrix: DataFrame, n: int, *, order: list[int] | None = None, u: int = 2, children: list[int] | None = None) -> DataFrame:
@@ -78,29 +117,34 @@ def k2(matrix: DataFrame, n: int, *, order: list[int] | None = None, u: int = 2,
 
     order: a permutation of the n features; only earlier ones may be parents. A parent is accepted if
     it raises the score by more than rounding (1e-9, or that share of it). children: search only these.
+    ValueError where order, children, u or a row of the matrix doesn't fit n.
     """
     order = list(range(n)) if order is None else order
     if sorted(order) != list(range(n)):
         raise ValueError(f"order must be a permutation of {n} features")
-    spark, weighted = matrix.sparkSession, compressed(matrix)
+    if u < 0 or children is not None and not set(children) <= set(order):
+        raise ValueError(f"u is 0 or more, and children are some of {n} features")
+    spark, weighted = matrix.sparkSession, compressed(matrix, n)
     sizes = {p: r for p, r in attribute_domains(weighted).select("pos", "r").collect()}
     wanted = [c for c in order if children is None or c in children]
     if not sizes:
         return spark.createDataFrame([], "child int, step int, parent int, score double")
-    old = {c: s for c, (s, _) in _best(weighted, [(c, sizes[c]) for c in wanted], 0).items()}
-    out = [(c, 0, -1, old[c]) for c in wanted]
+    place = {c: i for i, c in enumerate(order)}
+    features = spark.createDataFrame([(z, i) for z, i in place.items()], "z int, place int")
     parents: dict[int, list[int]] = {c: [] for c in wanted}
-    active, before = set(wanted), {c: order[:i] for i, c in enumerate(order)}
+    state = lambda of: [(c, sizes[c], place[c], *parents[c]) for c in of]
+    old = {c: s for c, (s, _) in _best(weighted, state(wanted), features, 0).items()}
+    out, active = [(c, 0, -1, old[c]) for c in wanted], list(wanted)
     for k in range(1, u + 1):
-        rows = [(c, sizes[c], *parents[c], z) for c in wanted if c in active for z in before[c] if z not in parents[c]]
-        if not rows:
-            break
-        found = _best(weighted, rows, k)
-        active = {c for c, (s, _) in found.items() if s > old[c] + 1e-9 * max(1.0, abs(old[c]))}
+        active = [c for c in active if place[c] >= k]
+        found = _best(weighted, state(active), features, k) if active else {}
+        active = [c for c in active if c in found and found[c][0] > old[c] + 1e-9 * max(1.0, abs(old[c]))]
         for c in active:
             old[c], z = found[c]
             parents[c].append(z)
             out.append((c, k, z, old[c]))
+        if not active:
+            break
     return spark.createDataFrame(out, "child int, step int, parent int, score double")
 
 
@@ -110,6 +154,12 @@ def parent_map(edges: DataFrame) -> DataFrame:
     return found.select(F.col("child").alias("node"), F.transform(F.filter("e", lambda x: x["step"] > 0), lambda x: x["parent"]).alias("parents"), F.element_at("e", -1)["score"].alias("score"))
 
 
+def parents_by_column(edges: DataFrame) -> DataFrame:
+    """(node, p1, p2) of what k2 returns with u of 2 at most, null where there is none."""
+    parent = lambda k: F.max(F.when(F.col("step") == k, F.col("parent"))).alias(f"p{k}")
+    return edges.groupBy(F.col("child").alias("node")).agg(parent(1), parent(2))
+
+
 def snake_schedule(spark, jobs: int, size: int) -> DataFrame:
     """(job, rank): jobs dealt to ranks in a snake, forth and back."""
     block = F.floor(F.col("id") / size)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import PUNCTUATION, REMOVED, STOP_WORDS, clean
 from quillon.operators import bayes, k2
+from quillon.plans.settle import settle
 from quillon.sources.matrices import SAMPLE, bernoulli_matrix, parent_lines, parse_parent_lines, sample_matrix
 
-TERMS = 12  # what the unrolled SQL can do
-ALL_TERMS = 200
+TERMS = 200
 
 
 def _table(spark, sf_dir, name):
@@ -23,11 +23,11 @@ def reviews(spark, sf_dir):
     return docs.where("lang = 'en'").join(labels, "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, 5).otherwise(1).alias("stars"))
 
 
-def _text(spark, sf_dir, most, chosen=bayes.head_per_class):
-    """chosen: of the reviews; with bayes.labelled it is all of them."""
-    docs = chosen(reviews(spark, sf_dir)).cache()
-    found = bayes.term_incidence(docs).cache()
-    return docs, found, bayes.vocabulary(found, most=most)
+def _text(spark, sf_dir, most=TERMS):
+    """All labelled reviews, the terms they hold (settled), and the vocabulary."""
+    docs = bayes.labelled(reviews(spark, sf_dir))
+    found = settle(bayes.term_incidence(docs))
+    return docs, found, settle(bayes.vocabulary(found, most=most))
 
 
 def lineitem_matrix(spark, sf_dir):
@@ -37,22 +37,15 @@ def lineitem_matrix(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select(F.array(*[c.cast("int") for c in cells]).alias("v"))
 
 
-def text_matrix(spark, sf_dir, terms=TERMS, chosen=bayes.head_per_class):
-    docs, found, vocab = _text(spark, sf_dir, terms, chosen)
-    return bayes.term_matrix(docs, found, vocab, terms)
-
-
-def full_text_matrix(spark, sf_dir):
-    return text_matrix(spark, sf_dir, ALL_TERMS)
-
-
-def all_text_matrix(spark, sf_dir):
-    return text_matrix(spark, sf_dir, ALL_TERMS, bayes.labelled)
+def text_matrix(spark, sf_dir):
+    docs, found, vocab = _text(spark, sf_dir)
+    return bayes.term_matrix(docs, found, vocab, TERMS)
 
 
 SQL_REVIEWS = """
 rv AS (SELECT doc_id, text, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS label FROM documents JOIN labels USING (doc_id) WHERE lang = 'en'),
-hd AS (SELECT doc_id, text, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS n FROM rv) WHERE n <= 100)"""
+hd AS (SELECT doc_id, text, label FROM rv)"""
+SQL_HEAD = "SELECT doc_id, text, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS n FROM rv) WHERE n <= 100"
 _cleaned = "text"
 for _p in REMOVED:
     _cleaned = f"regexp_replace({_cleaned}, '{_p}', '', 'g')"
@@ -137,30 +130,29 @@ def head_query(spark, sf_dir):
     return bayes.head_per_class(reviews(spark, sf_dir))
 
 
-def clean_text(spark, sf_dir, chosen=bayes.head_per_class):
-    return chosen(reviews(spark, sf_dir)).select("doc_id", clean(F.col("text")).alias("text"))
+def clean_text(spark, sf_dir):
+    return bayes.labelled(reviews(spark, sf_dir)).select("doc_id", clean(F.col("text")).alias("text"))
 
 
-def vocabulary_topk(spark, sf_dir, chosen=bayes.head_per_class):
-    return _text(spark, sf_dir, 200, chosen)[2]
+def vocabulary_topk(spark, sf_dir):
+    return _text(spark, sf_dir)[2]
 
 
-def term_incidence(spark, sf_dir, chosen=bayes.head_per_class):
-    return bayes.term_incidence(chosen(reviews(spark, sf_dir)))
+def term_incidence(spark, sf_dir):
+    return bayes.term_incidence(bayes.labelled(reviews(spark, sf_dir)))
 
 
-def _as_digits(matrix):
-    return lambda spark, sf_dir: matrix(spark, sf_dir).select("doc_id", F.array_join(F.col("v").cast("array<string>"), "").alias("v"))
+def term_matrix(spark, sf_dir):
+    return text_matrix(spark, sf_dir).select("doc_id", F.array_join(F.col("v").cast("array<string>"), "").alias("v"))
 
 
-def _held(spark, sf_dir, chosen=bayes.head_per_class):
-    docs, found, vocab = _text(spark, sf_dir, 200, chosen)
-    vocab = vocab.cache()
+def _held(spark, sf_dir):
+    docs, found, vocab = _text(spark, sf_dir)
     return docs, found.join(F.broadcast(vocab), "term").select("doc_id", "label", "idx"), vocab
 
 
-def nb_predict(spark, sf_dir, chosen=bayes.head_per_class):
-    return bayes.naive_bayes(*_held(spark, sf_dir, chosen))
+def nb_predict(spark, sf_dir):
+    return bayes.naive_bayes(*_held(spark, sf_dir))
 
 
 def _rule(count):
@@ -173,24 +165,32 @@ def _rule(count):
 
 
 def _k2nb(count):
-    def query(spark, sf_dir, chosen=bayes.head_per_class):
-        docs, held, _ = _held(spark, sf_dir, chosen)
+    def query(spark, sf_dir):
+        docs, held, _ = _held(spark, sf_dir)
         return bayes.naive_bayes_k2(docs, held, spark.createDataFrame(_rule(count), "node int, p1 int, p2 int"))
 
     return query
 
 
-def nb_accuracy(spark, sf_dir, chosen=bayes.head_per_class):
-    return bayes.accuracy(nb_predict(spark, sf_dir, chosen))
+def k2nb_learnt(spark, sf_dir):
+    """Reviews to predictions, with the parents that structure learning finds in them."""
+    docs, held, vocab = _held(spark, sf_dir)
+    n = vocab.count()
+    matrix = bayes.term_matrix(docs, held.join(F.broadcast(vocab), "idx").select("doc_id", "term"), vocab, TERMS)
+    parents = k2.parents_by_column(k2.k2(matrix, TERMS, u=1)).where(F.col("node") < n)
+    return bayes.naive_bayes_k2(docs, held, parents)
 
 
-def k2nb_accuracy(spark, sf_dir, chosen=bayes.head_per_class):
-    return bayes.accuracy(_k2nb(1)(spark, sf_dir, chosen))
+def nb_accuracy(spark, sf_dir):
+    return bayes.accuracy(nb_predict(spark, sf_dir))
 
 
-def _all(query):
-    """Over every labelled review."""
-    return lambda spark, sf_dir: query(spark, sf_dir, bayes.labelled)
+def k2nb_accuracy(spark, sf_dir):
+    return bayes.accuracy(_k2nb(1)(spark, sf_dir))
+
+
+def k2nb_learnt_accuracy(spark, sf_dir):
+    return bayes.accuracy(k2nb_learnt(spark, sf_dir))
 
 
 def parent_map_text(spark, sf_dir):
@@ -219,8 +219,12 @@ pr AS (SELECT doc_id, label, CASE WHEN p1 > p0 + 1e-9 THEN 1 ELSE 0 END AS predi
 
 def _k2nb_sql(count):
     rows = ", ".join(f"({j}, {'NULL' if a is None else a}, {'NULL' if b is None else b})" for j, a, b in _rule(count))
-    return f"""WITH {_HELD},
-pm AS (SELECT CAST(a AS INTEGER) AS node, CAST(b AS INTEGER) AS p1, CAST(c AS INTEGER) AS p2 FROM (VALUES {rows}) t(a, b, c)),
+    return _k2nb_given(f"WITH {_HELD}", f"SELECT CAST(a AS INTEGER) AS node, CAST(b AS INTEGER) AS p1, CAST(c AS INTEGER) AS p2 FROM (VALUES {rows}) t(a, b, c)")
+
+
+def _k2nb_given(tables, parents):
+    return f"""{tables},
+pm AS ({parents}),
 bs AS (SELECT doc_id, label, node FROM hd CROSS JOIN (SELECT pm.* FROM pm JOIN vo ON vo.idx = node)
   WHERE (p1 IS NULL OR (doc_id, p1) IN (SELECT (doc_id, idx) FROM hv)) AND (p2 IS NULL OR (doc_id, p2) IN (SELECT (doc_id, idx) FROM hv))),
 cp AS (SELECT label AS c, node, avg(CASE WHEN h.idx IS NULL THEN 0.0 ELSE 1.0 END) AS p FROM bs LEFT JOIN (SELECT doc_id, idx FROM hv) h ON h.doc_id = bs.doc_id AND h.idx = bs.node GROUP BY label, node),
@@ -232,6 +236,11 @@ _ACC = " SELECT round(avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END), 9)
 _PAIRS = k2_sql(SQL_LINEITEM, list(range(6)), 1)
 _ORDER = [5, 3, 0, 4, 2, 1]
 _TEXT_ORDER = list(reversed(range(TERMS)))
+_LEARN = k2_sql(SQL_TEXT_MATRIX, list(range(TERMS)), 1)
+_LEARNT = _k2nb_given(
+    _LEARN[: _LEARN.index("\nSELECT")] + ",\nhv AS (SELECT doc_id, label, idx FROM ti JOIN vo USING (term))",
+    "SELECT CAST(t0.child AS INTEGER) AS node, CAST(p1 AS INTEGER) AS p1, CAST(NULL AS INTEGER) AS p2 FROM t0 LEFT JOIN t1 ON t1.child = t0.child WHERE t0.child < (SELECT count(*) FROM vo)",
+)
 
 QUERIES = {
     "attr_domains": attr_domains,
@@ -247,33 +256,17 @@ QUERIES = {
     "clean_text": clean_text,
     "term_incidence": term_incidence,
     "vocabulary_topk": vocabulary_topk,
-    "term_matrix": _as_digits(text_matrix),
+    "term_matrix": term_matrix,
     "nb_predict": nb_predict,
     "nb_accuracy": nb_accuracy,
     "k2nb_1parent": _k2nb(1),
     "k2nb_2parents": _k2nb(2),
     "k2nb_accuracy": k2nb_accuracy,
+    "k2nb_learnt": k2nb_learnt,
+    "k2nb_learnt_accuracy": k2nb_learnt_accuracy,
     "parent_map_text": parent_map_text,
     "snake_schedule": snake_schedule,
     "matrix_synth": matrix_synth,
-    # the whole vocabulary; unrolled SQL over so many terms is too slow, so these have none
-    "k2_greedy_u1_200": _k2(full_text_matrix, ALL_TERMS, u=1),
-    "k2_greedy_u2_200": _k2(full_text_matrix, ALL_TERMS, u=2),
-    "k2_node_order_200": _k2(full_text_matrix, ALL_TERMS, order=list(reversed(range(ALL_TERMS))), u=2),
-    "term_matrix_200": _as_digits(full_text_matrix),
-    # every labelled review; the SQL of the names without _all takes the first 100 of a class
-    "clean_text_all": _all(clean_text),
-    "term_incidence_all": _all(term_incidence),
-    "vocabulary_topk_all": _all(vocabulary_topk),
-    "nb_predict_all": _all(nb_predict),
-    "nb_accuracy_all": _all(nb_accuracy),
-    "k2nb_1parent_all": _all(_k2nb(1)),
-    "k2nb_2parents_all": _all(_k2nb(2)),
-    "k2nb_accuracy_all": _all(k2nb_accuracy),
-    "term_matrix_all": _as_digits(all_text_matrix),
-    "k2_greedy_u1_all": _k2(all_text_matrix, ALL_TERMS, u=1),
-    "k2_greedy_u2_all": _k2(all_text_matrix, ALL_TERMS, u=2),
-    "k2_node_order_all": _k2(all_text_matrix, ALL_TERMS, order=list(reversed(range(ALL_TERMS))), u=2),
 }
 
 ORACLE_SQL = {
@@ -286,7 +279,7 @@ ORACLE_SQL = {
     "k2_greedy_u2": k2_sql(SQL_TEXT_MATRIX, list(range(TERMS)), 2),
     "k2_multivalued": k2_sql(SQL_LINEITEM, list(range(6)), 2),
     "k2_node_order": k2_sql(SQL_TEXT_MATRIX, _TEXT_ORDER, 2),
-    "head_per_class": f"WITH {SQL_REVIEWS} SELECT doc_id, text, label FROM hd",
+    "head_per_class": f"WITH {SQL_REVIEWS} {SQL_HEAD}",
     "clean_text": f"WITH {sql_terms(200)} SELECT doc_id, text FROM cl",
     "term_incidence": f"WITH {sql_terms(200)} SELECT doc_id, label, term FROM ti",
     "vocabulary_topk": f"WITH {sql_terms(200)} SELECT term, df, idx FROM vo",
@@ -296,6 +289,8 @@ ORACLE_SQL = {
     "k2nb_1parent": _k2nb_sql(1) + " SELECT doc_id, label, predicted FROM pr",
     "k2nb_2parents": _k2nb_sql(2) + " SELECT doc_id, label, predicted FROM pr",
     "k2nb_accuracy": _k2nb_sql(1) + _ACC,
+    "k2nb_learnt": _LEARNT + " SELECT doc_id, label, predicted FROM pr",
+    "k2nb_learnt_accuracy": _LEARNT + _ACC,
     "parent_map_text": "SELECT * FROM (VALUES " + ", ".join(f"({j}, '{','.join(str(p) for p in ps if p is not None)}')" for j, *ps in _rule(2)) + ") t(node, parents)",
     "snake_schedule": "SELECT i AS job, CASE WHEN (i // 7) % 2 = 0 THEN i % 7 ELSE 6 - i % 7 END AS rank FROM range(100) t(i)",
 }

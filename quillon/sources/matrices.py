@@ -19,10 +19,20 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("rid"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double").cast("int")).alias("v"))
 
 
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """Numbers parted by blanks, one observation a line, as read_matrix reads them."""
+    matrix.select(F.array_join(F.col("v").cast("array<string>"), " ").alias("value")).write.text(path)
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header that names at least text and stars; quoted fields may span lines."""
+    """(doc_id, text, stars) of a CSV file with a header that names at least text and stars; quoted fields
+    may span lines. doc_id is the file's own, or else counts the rows in the order of the file."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select("text", F.col("stars").cast("int").alias("stars"))
+    missing = {"text", "stars"} - set(rows.columns)
+    if missing:
+        raise ValueError(f"the reviews lack {', '.join(sorted(missing))}")
+    own = F.col("doc_id").cast("long") if "doc_id" in rows.columns else F.monotonically_increasing_id()
+    return rows.select(own.alias("doc_id"), "text", F.col("stars").try_cast("int").alias("stars"))
 
 
 def bernoulli_matrix(spark: SparkSession, m: int, n: int, p: float = 0.7, seed: int | None = None) -> DataFrame:
@@ -47,6 +57,13 @@ def read_parent_map(spark: SparkSession, path: str) -> DataFrame:
     return parse_parent_lines(spark.read.text(path))
 
 
+def read_parent_list(spark: SparkSession, path: str) -> DataFrame:
+    """(node, parents) of a stored list: the parents of nodes 0, 1, ... as ``[3, 5]``, a line each, in one
+    file; lines without brackets are left out."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"\[([0-9, ]*)\]"), F.lit(1))).alias("node", "of"))
+    return lines.select("node", F.regexp_extract_all("of", F.lit("[0-9]+"), F.lit(0)).cast("array<int>").alias("parents"))
+
+
 def write_parent_map(parents: DataFrame, path: str, kind: str = "text") -> None:
     """kind: text (as parent_lines), parquet or json."""
     (parent_lines(parents).write.text if kind == "text" else getattr(parents.write, kind))(path)
