@@ -39,7 +39,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", "contains(text, '.')", "forall(split(t, '[.]', -1), p -> length(ltrim('0', p)) <= 3 and coalesce(try_cast(ltrim('0', p) as int), 0) <= 255)", 0.6, "host|server|address|login|ip"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "true", f"length({DIGITS}) between 13 and 19 and luhn_check({DIGITS})", 0.7, "card|visa|credit|payment|account"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(text, '+')", f"length({DIGITS}) between 9 and 15", 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?i:{IBAN})(?![A-Za-z0-9])", "true", "mod97(t)", 0.7, "iban|bank|account|transfer", base=False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{2}}[0-9]{{2}})(?i:{IBAN})(?![A-Za-z0-9])", "true", "mod97(t)", 0.7, "iban|bank|account|transfer", base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "contains(text, '-')", "true", 0.4, "ssn|social|security|insurance", base=False),
 )
 
