@@ -7,14 +7,18 @@ thresholds with the fewest estimated candidates, by dynamic programming over the
 probes the index of partition values, and candidates are verified.
 
 Where the best thresholds would still give more than ``most_candidates``, as inside a dense group of
-near copies, the fingerprint takes the plan of m = 1, t_1 = tau = 2, split evenly between the two
-sides: both emit all values within one bit, and fingerprints that meet in a value are within two bits
-of each other, and conversely. A value has at most 65 fingerprints around it, so no bucket is hot, no
-pair is lost, and the cost of a fingerprint is bounded however large its group is.
+near copies, the fingerprint takes the plan of m = 1, t_1 = tau, split between the two sides: one emits
+all values within floor(tau / 2) bits, the other all within the rest of tau. Fingerprints that meet in a
+value are within tau of each other, and conversely. A value has no more fingerprints around it than the
+ball of the greater radius holds, so no bucket is hot, no pair is lost, and the cost of a fingerprint is
+bounded however large its group is.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -86,6 +90,15 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def ball_size(width: int, radius: int) -> int:
+    return sum(comb(width, k) for k in range(radius + 1))
+
+
+def ball(bits: list[int], radius: int) -> list[int]:
+    """The masks of at most ``radius`` of the bits, those of fewer bits first."""
+    return [signed(sum(1 << b for b in some)) for k in range(radius + 1) for some in combinations(bits, k)]
+
+
 def allocate(counts: np.ndarray, widths: np.ndarray, mean: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of counts (fingerprints with its value, by partition): its thresholds and their cost.
 
@@ -94,7 +107,7 @@ def allocate(counts: np.ndarray, widths: np.ndarray, mean: np.ndarray, tau: int)
     thresholds that sum to s.
     """
     rows, m = counts.shape
-    around = [np.ones(m), 1 + widths, 1 + widths + widths * (widths - 1) / 2]
+    around = [np.array([float(ball_size(int(w), t)) for w in widths]) for t in range(tau + 1)]
     cost = np.stack([np.zeros((rows, m))] + [around[t] + counts - 1 + (around[t] - 1) * mean for t in range(tau + 1)])
     low, high = -m, tau
     best = np.full((high - low + 1, rows), np.inf)
@@ -112,11 +125,15 @@ def allocate(counts: np.ndarray, widths: np.ndarray, mean: np.ndarray, tau: int)
     return out, least
 
 
-def links(fps: DataFrame, *, tau: int = TAU, most_candidates: int = 130) -> DataFrame:
+def links(fps: DataFrame, *, tau: int = TAU, most_candidates: int | None = None) -> DataFrame:
     """(a, b), a < b: all pairs that a probe finds, and enough of the pairs inside dense groups to
-    connect whatever is within tau there. fps: distinct, in a column fp."""
-    if tau != 2:
-        raise ValueError("the even split of the dense plan is for tau = 2")
+    connect whatever is within tau there. fps: distinct, in a column fp. most_candidates: what the dense
+    plan costs a fingerprint, 130 at tau = 2, unless given. tau: 0 to 4, as the balls of the dense plan
+    have 65 values within one bit, 2,081 within two and 43,745 within three."""
+    if not 0 <= tau <= 4:
+        raise ValueError("tau is 0 to 4")
+    inner, outer = ball(range(64), tau // 2), ball(range(64), tau - tau // 2)
+    most_candidates = len(inner) + len(outer) if most_candidates is None else most_candidates
     n = fps.count()
     m = 3 if n < 1 << 24 else 2  # three exact parts of 21 bits, or one of 32 exact and one of 32 within a bit
     groups = group_bits(fps, m)
@@ -128,11 +145,7 @@ def links(fps: DataFrame, *, tau: int = TAU, most_candidates: int = 130) -> Data
     index = settle(index.join(counts, ["part", "value"]))
     own = index.groupBy("fp").agg(*[F.max(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(m)])
 
-    flips = [[np.array([0], np.int64)] for _ in groups]
-    for i, g in enumerate(groups):
-        one = np.array([1 << b for b in g], np.uint64)
-        two = np.array([x | y for k, x in enumerate(one) for y in one[k + 1 :]], np.uint64)
-        flips[i] += [np.concatenate([[0], one.view(np.int64)]).astype(np.int64), np.concatenate([[0], one.view(np.int64), two.view(np.int64)]).astype(np.int64)]
+    flips = [[np.array(ball(g, t), np.int64) for t in range(tau + 1)] for g in groups]
 
     def probes(batches):
         """(fp, part, value): what each fingerprint looks up; part -1: its dense plan."""
@@ -140,13 +153,12 @@ def links(fps: DataFrame, *, tau: int = TAU, most_candidates: int = 130) -> Data
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             t, cost = allocate(np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(m)], axis=1).astype(float), widths, mean, tau)
             dense = cost > most_candidates
-            out = [(fp[dense], -1, np.zeros((dense.sum(), 1), np.int64))]
-            for i in range(m):
-                for e in range(tau + 1):
-                    some = fp[~dense & (t[:, i] == e)]
-                    out.append((some, i, (some & masks[i])[:, None] ^ flips[i][e][None, :]))
-            for who, part, values in out:
-                if len(who):
+            out = [(fp[dense], -1, np.zeros(1, np.int64))] + [(fp[~dense & (t[:, i] == e)], i, flips[i][e]) for i in range(m) for e in range(tau + 1)]
+            for some, part, flip in out:
+                step = max((1 << 20) // len(flip), 1)
+                for at in range(0, len(some), step):
+                    who = some[at : at + step]
+                    values = (who & (masks[part] if part >= 0 else 0))[:, None] ^ flip[None, :]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, values.shape[1])), pa.array(np.full(values.size, part, np.int32)), pa.array(values.ravel())], names=["fp", "part", "value"])
 
     looked = settle(own.mapInArrow(probes, "fp long, part int, value long"))
@@ -159,9 +171,9 @@ def links(fps: DataFrame, *, tau: int = TAU, most_candidates: int = 130) -> Data
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     found = sparse.join(cool, ["part", "value"]).where((F.col("a") != F.col("b")) & (near <= tau)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)).cast("long") for b in range(64)])
-    meets = dense.select("fp", F.explode(F.transform(ball, lambda x: F.col("fp").bitwiseXOR(x))).alias("z")).groupBy("z").agg(F.sort_array(F.collect_list("fp")).alias("f")).where(F.size("f") > 1)
-    stars = meets.select(F.get("f", F.lit(0)).alias("a"), F.explode(F.slice("f", 2, 64)).alias("b"))
+    around = F.transform(F.array(*[F.lit(x).cast("long") for x in outer]), lambda x: F.col("fp").bitwiseXOR(x))
+    meets = dense.select("fp", F.posexplode(around).alias("at", "z")).groupBy("z").agg(F.min(F.when(F.col("at") < len(inner), F.col("fp"))).alias("a"), F.collect_list("fp").alias("f"))
+    stars = meets.where((F.size("f") > 1) & F.col("a").isNotNull()).select("a", F.explode("f").alias("b")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionByName(stars).distinct()
 
 

@@ -81,21 +81,27 @@ def test_bpe_cuts_and_round_trip(spark):
         text = "".join(rng.choice(["a", "é", "1", "'s", " ", "  ", "\n", "!", "词", " ", "<|endoftext|>"]) for _ in range(600))
         assert "".join(pieces(text, 20)) == text
         assert encode_text(enc, text, 20).tolist() == enc.encode_ordinary(text)
+    texts = ["", "a", "héllo wörld 12345  x\n\n<|endoftext|> 𝒳", "word " * 3000 + "x" * 5000, None]
+    for r in bpe(docs(spark, list(enumerate(texts))), **v, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256")).collect():
+        text = texts[r.doc_id] or ""
+        ids = enc.encode_ordinary(text)
+        assert (r.n_tokens, list(r.ids)) == (len(ids), ids)
+        assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     got = decode(bpe(docs(spark, [(1, "héllo wörld"), (2, None)]), **v), **v).collect()
     assert [bytes(r.decoded) for r in sorted(got, key=lambda r: r.doc_id)] == ["héllo wörld".encode(), b""]
 
 
-def near(a, b):
-    return bin((a ^ b) & (2**64 - 1)).count("1") <= 2
+def near(a, b, tau):
+    return bin((a ^ b) & (2**64 - 1)).count("1") <= tau
 
 
-@pytest.mark.parametrize("most", [130, 0, 4])
-def test_simhash_links_connect_what_is_near(spark, most):
+@pytest.mark.parametrize(("tau", "most"), [(2, None), (2, 0), (2, 4), (0, None), (1, 0), (1, 4), (3, 0), (3, None), (4, 0), (4, 30)])
+def test_simhash_links_connect_what_is_near(spark, tau, most):
     rng = random.Random(5)
     centre = [rng.getrandbits(64) for _ in range(40)]
     fps = sorted({c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centre for _ in range(6)} | {centre[0] ^ (1 << i) for i in range(20)} | {0, 2**63})
     signed = [op8.signed(x) for x in fps]
-    got = {r.node: r.root for r in components(op8.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most_candidates=most)).collect()}
+    got = {r.node: r.root for r in components(op8.links(spark.createDataFrame([(x,) for x in signed], "fp long"), tau=tau, most_candidates=most)).collect()}
     up = {x: x for x in signed}
     def root(x):
         while up[x] != x:
@@ -103,11 +109,33 @@ def test_simhash_links_connect_what_is_near(spark, most):
         return x
     for i, a in enumerate(signed):
         for b in signed[i + 1 :]:
-            if near(a, b) and root(a) != root(b):
+            if near(a, b, tau) and root(a) != root(b):
                 up[max(root(a), root(b))] = min(root(a), root(b))
     assert all(got.get(x, x) == root(x) for x in signed)
 
 
+@pytest.mark.parametrize("hubs", [1, 20, 10**6])
+def test_components_with_and_without_hubs(spark, monkeypatch, hubs):
+    from quillon.llm import components as c
+
+    monkeypatch.setattr(c, "HUBS", hubs)
+    rng = random.Random(6)
+    pairs = [(1000, i) for i in range(200)] + [(i, i + 1) for i in range(300, 380)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(250)] + [(-5, 2000 + i) for i in range(100)]
+    up = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for p in pairs:
+        a, b = sorted(map(root, p))
+        up[b] = a
+    want = {x: root(x) for x in up if root(x) != x}
+    got = components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
 def test_thresholds_add_up():
     t, cost = op8.allocate(np.array([[1.0, 500, 2], [1, 1, 1]]), np.array([21.0, 21, 22]), np.array([0.1] * 3), 2)
     assert (t.sum(axis=1) == 0).all() and t[0, 1] == -1 and cost[1] == 3
