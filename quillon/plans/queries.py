@@ -205,7 +205,7 @@ def snake_schedule(spark, sf_dir):
 
 
 def matrix_synth(spark, sf_dir):
-    return bernoulli_matrix(spark, 1000, 10, 0.7, seed=10)
+    return bernoulli_matrix(spark, 1000, 10, 0.7, seed=10).select("rid", F.array_join(F.col("v").cast("array<string>"), "").alias("v"))
 
 
 _HELD = sql_terms(200) + ", hv AS (SELECT doc_id, label, idx FROM ti JOIN vo USING (term))"
@@ -292,5 +292,7 @@ ORACLE_SQL = {
     "k2nb_learnt": _LEARNT + " SELECT doc_id, label, predicted FROM pr",
     "k2nb_learnt_accuracy": _LEARNT + _ACC,
     "parent_map_text": "SELECT * FROM (VALUES " + ", ".join(f"({j}, '{','.join(str(p) for p in ps if p is not None)}')" for j, *ps in _rule(2)) + ") t(node, parents)",
+    "matrix_synth": f"""SELECT i AS rid, string_agg(CASE WHEN substr(md5(concat('10:', i, ':', j // 4)), j % 4 * 8 + 1, 8) < '{int(0.7 * 16**8):08x}' THEN '1' ELSE '0' END, '' ORDER BY j) AS v
+      FROM range(1000) t(i), range(10) s(j) GROUP BY i""",
     "snake_schedule": "SELECT i AS job, CASE WHEN (i // 7) % 2 = 0 THEN i % 7 ELSE 6 - i % 7 END AS rank FROM range(100) t(i)",
 }

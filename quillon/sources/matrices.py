@@ -36,10 +36,13 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bernoulli_matrix(spark: SparkSession, m: int, n: int, p: float = 0.7, seed: int | None = None) -> DataFrame:
-    """m observations of n independent features, each 1 with probability p. Each cell is a hash of its
-    place and the seed, so that a lost partition comes back as it was."""
-    cell = lambda j: (F.pmod(F.xxhash64("id", F.lit(j), F.lit(0 if seed is None else seed)), F.lit(1_000_000)) < int(p * 1_000_000)).cast("int")
-    return spark.range(m).select(F.col("id").alias("rid"), F.array(*[cell(j) for j in range(n)]).alias("v"))
+    """m observations of n independent features, each 1 with probability p. A cell is 1 where its eight
+    digits of the MD5 of ``seed:row:block`` (four cells a block) are below p as a share of 16^8, so that a
+    lost partition comes back as it was and any other engine can make the same rows. No seed is seed 0."""
+    below = f"{min(int(p * 16**8), 16**8 - 1):08x}" if p < 1 else "g"
+    digest = lambda block: F.md5(F.concat_ws(":", F.lit(seed or 0), "id", F.lit(block)).cast("binary"))
+    rows = spark.range(m).withColumn("h", F.concat(*[digest(block) for block in range((n + 3) // 4)]))
+    return rows.select(F.col("id").alias("rid"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (F.substring("h", j * 8 + 1, F.lit(8)) < below).cast("int")).alias("v"))
 
 
 def parent_lines(parents: DataFrame) -> DataFrame:

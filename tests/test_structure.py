@@ -138,6 +138,9 @@ def test_maps_and_matrices_on_disk(spark, tmp_path):
 def test_generator_and_log2(spark):
     cells = [x for r in bernoulli_matrix(spark, 3000, 5, 0.7, 3).collect() for x in r.v]
     assert abs(sum(cells) / len(cells) - 0.7) < 0.02
+    rows = lambda *how: [r.v for r in bernoulli_matrix(spark, 20, *how).collect()]
+    assert rows(1, 1.0) == [[1]] * 20 and rows(9, 0.0) == [[0] * 9] * 20
+    assert rows(6, 0.5) == rows(6, 0.5, 0) != rows(6, 0.5, 1)
     assert [r[0] for r in spark.createDataFrame([(8.0,), (0.0,), (-1.0,)], "x double").select(log2(F.col("x"))).collect()] == [3.0, None, None]
 
 

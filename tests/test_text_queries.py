@@ -29,7 +29,7 @@ def test_queries_with_sql_equal_it(spark, tables):
     db = duckdb.connect()
     for name in ("documents", "labels"):
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet/*.parquet'")
-    for name in ("k2_node_order", "k2_greedy_u2", "nb_predict", "k2nb_2parents", "k2nb_learnt", "term_matrix", "head_per_class"):
+    for name in ("k2_node_order", "k2_greedy_u2", "nb_predict", "k2nb_2parents", "k2nb_learnt", "term_matrix", "head_per_class", "matrix_synth", "snake_schedule"):
         got = QUERIES[name](spark, at)
         want = db.sql(ORACLE_SQL[name]).select(*got.columns).fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want), name
