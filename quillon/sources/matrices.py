@@ -38,7 +38,9 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 def bernoulli_matrix(spark: SparkSession, m: int, n: int, p: float = 0.7, seed: int | None = None) -> DataFrame:
     """m observations of n independent features, each 1 with probability p. A cell is 1 where its eight
     digits of the MD5 of ``seed:row:block`` (four cells a block) are below p as a share of 16^8, so that a
-    lost partition comes back as it was and any other engine can make the same rows. No seed is seed 0."""
+    lost partition comes back as it was and any other engine can make the same rows. No seed is seed 0. ValueError where n is less than 1."""
+    if n < 1:
+        raise ValueError("a matrix has at least one feature")
     below = f"{min(int(p * 16**8), 16**8 - 1):08x}" if p < 1 else "g"
     digest = lambda block: F.md5(F.concat_ws(":", F.lit(seed or 0), "id", F.lit(block)).cast("binary"))
     rows = spark.range(m).withColumn("h", F.concat(*[digest(block) for block in range((n + 3) // 4)]))

@@ -141,6 +141,8 @@ def test_generator_and_log2(spark):
     rows = lambda *how: [r.v for r in bernoulli_matrix(spark, 20, *how).collect()]
     assert rows(1, 1.0) == [[1]] * 20 and rows(9, 0.0) == [[0] * 9] * 20
     assert rows(6, 0.5) == rows(6, 0.5, 0) != rows(6, 0.5, 1)
+    with pytest.raises(ValueError, match="one feature"):
+        rows(0, 0.5)
     assert [r[0] for r in spark.createDataFrame([(8.0,), (0.0,), (-1.0,)], "x double").select(log2(F.col("x"))).collect()] == [3.0, None, None]
 
 
