@@ -25,7 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays:
+    SimHash links, verified, then an exact join of what fingerprints keep apart."""
     return one_of_each(docs)
 
 

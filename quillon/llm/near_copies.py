@@ -1,9 +1,14 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``num / den``.
+"""Near copies by SimHash: texts whose sets of word shingles have a Jaccard similarity of at least ``num / den``.
 
-Exact, but for collisions of 64-bit hashes. If the shingles of all sets stand in one order, two such sets
-share a shingle among the first n - ceil(n num / den) + 1 of the larger and the first n - ceil(2 n num /
-(num + den)) + 1 of the smaller one (prefix filter). Any order is right; here shingles that many documents
-of a sample hold come last, so that what is common is seldom looked up.
+Fingerprints of the same shingles are linked by the generalised pigeonhole principle, as in op08_simhash, and
+each link is verified on the sets. Copies and the nearer near copies are joined to components in this way.
+
+What fingerprints keep apart is made whole by an exact join (but for collisions of 64-bit hashes), which only
+looks at pairs of sets from different components: a similarity of 0.8 leaves some ten of 64 bits different,
+too many to look up. If the shingles of all sets stand in one order, two near sets share a shingle among the
+first n - ceil(n num / den) + 1 of the larger and the first n - ceil(2 n num / (num + den)) + 1 of the smaller
+one (prefix filter). Any order is right; here shingles that many documents of a sample hold come last, so that
+what is common is seldom looked up.
 
 Sets that share such a shingle are candidates. Each set has a bitmap, of two to four bits a shingle, of the
 parities of its shingles by hash; two bitmaps differ in no more bits than the sets differ in shingles, so that
@@ -27,9 +32,12 @@ from pyspark.sql.types import StructType
 
 from quillon.llm.common import Words, bytes_of, most_frequent, pieces, routed
 from quillon.llm.components import components
+from quillon.llm.op08_simhash import links as fingerprint_links
+from quillon.llm.op08_simhash import simhash
 from quillon.plans.settle import scratch, settle
 
 WORDS, NUM, DEN = 5, 4, 5
+TAU = 4  # bits: the most that op08's links take
 SAMPLE, COMMON = 16, 1 << 17  # one document in so many is sampled for common shingles; at most so many are broadcast
 HOT = 64  # documents of the sample that hold a hot shingle
 HUBS, SALTS = 4, 32
@@ -122,20 +130,21 @@ def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.
 
 
 def _prints(docs: DataFrame, keep: list, text_col: str, words: int, num: int, den: int, most_seen: int = 1 << 18) -> DataFrame:
-    """keep, key (of the set), n, bits, first, cool (how many of first are not hot). A set that a task has
-    met already comes without bits and first."""
+    """keep, key (of the set), n, fp (of the text), bits, first, cool (how many of first are not hot). A set that
+    a task has met already comes without fp, bits and first."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, words))
 
     def make():
         shingles, seen = Shingles(words), set()
 
         def run(texts):
-            keys, sizes, bits, first, cool = [], [], [], [], []
-            for h in shingles(texts):
+            keys, sizes, fps, bits, first, cool = [], [], [], [], [], []
+            for text, h in zip(texts, shingles(texts), strict=True):
                 key = xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63)
                 new = key not in seen
                 keys.append(key)
                 sizes.append(len(h))
+                fps.append(simhash(text, words) if new else None)
                 bits.append(bitmap(h) if new else h[:0])
                 of, n_cool = prefix(h, *common.value, num, den) if new else (h[:0], 0)
                 first.append(of)
@@ -143,11 +152,11 @@ def _prints(docs: DataFrame, keep: list, text_col: str, words: int, num: int, de
                 if len(seen) >= most_seen:
                     seen.clear()
                 seen.add(key)
-            return [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(bits), _lists(first), pa.array(cool, pa.int32())]
+            return [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), _lists(bits), _lists(first), pa.array(cool, pa.int32())]
 
         return run
 
-    return _with_sets(docs, keep, text_col, "key bigint, n int, bits array<bigint>, first array<bigint>, cool int", make)
+    return _with_sets(docs, keep, text_col, "key bigint, n int, fp bigint, bits array<bigint>, first array<bigint>, cool int", make)
 
 
 def _may_be_near(num: int, den: int) -> Column:
@@ -196,11 +205,42 @@ def _by_shingle(rows: DataFrame, of_h: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, most: int = 32, chunk: int = 384) -> DataFrame:
+def _hubs() -> Column:
+    """A few of a group's keys, chosen by hash."""
+    return F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(t))) for t in range(HUBS)])).alias("hubs")
+
+
+def _by_fingerprint(prints: DataFrame, tau: int, most: int) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints differ in tau bits or fewer. Of equal fingerprints, each set meets
+    the one of the least key, which also stands for them all in links to other fingerprints; a fingerprint with
+    more than ``most`` links meets a few of them."""
+    of = prints.where("fp is not null").select(F.col("fp").alias("h"), "key").distinct()
+    classes = settle(of.groupBy("h").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("c")))
+    equal = _by_shingle(of, classes.where("c > 1").select("h", "first")).select(F.col("key").alias("a"), F.col("first").alias("b"))
+    near = settle(fingerprint_links(classes.select(F.col("h").alias("fp")), tau=tau))
+    both = near.select(F.col("a").alias("h"), F.col("b").alias("key")).unionByName(near.select(F.col("b").alias("h"), F.col("a").alias("key")))
+    of_h = settle(both.groupBy("h").agg(F.count(F.lit(1)).alias("c"), _hubs()))
+    linked = _by_shingle(both, of_h.where(F.col("c") <= most).select("h")).select("h", "key")
+    linked = linked.unionByName(of_h.where(F.col("c") > most).select("h", F.explode("hubs").alias("key")))
+    for end, to in (("h", "a"), ("key", "b")):
+        linked = linked.join(classes.select(F.col("h").alias(end), F.col("first").alias(to)), end)
+    pairs = linked.select("a", "b").unionByName(equal).where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component of joined (node, root)."""
+    for end in "ab":
+        pairs = pairs.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, tau: int = TAU, most: int = 32, chunk: int = 384) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, component_id: the smallest id reachable over pairs at num / den
-    or more. Words are what lies between ASCII blanks, A-Z lower-cased. Texts without words, and null texts, are
-    equal. Null ids are reached but never the smallest, unless a whole component has null ids. An empty table
-    gives no rows. Other columns are ignored, whatever their names."""
+    or more, whatever the bits of their fingerprints; tau says which of them SimHash links. Words are what lies
+    between ASCII blanks, A-Z lower-cased. Texts without words, and null texts, are equal. Null ids are reached but
+    never the smallest, unless a whole component has null ids. An empty table gives no rows. Other columns are
+    ignored, whatever their names."""
     x = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keep = [F.col(id_col).alias("doc_id"), x.alias("text_hash")]
     prints = settle(_prints(docs, keep, text_col, words, num, den))
@@ -208,6 +248,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # a row a set, so that no set of many copies is met as a hot key further on
     firsts = prints.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.min("doc_id").alias("first_id"))
 
+    with scratch(docs.sparkSession):
+        near = _verified(docs, firsts, sets, _by_fingerprint(prints, tau, most), x, id_col, text_col, words, num, den)
+        near = settle(near, outer=True)
+        by_simhash = settle(components(near), outer=True)
+
     rows = prints.select("key", "n", "cool", F.posexplode("first").alias("pos", "h"))
     # one shuffle serves to drop what several tasks have given, and to count
     index = rows.where("pos < cool").drop("cool").repartition("h").dropDuplicates(["h", "key"])
@@ -219,9 +264,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     few = index.where(F.col("c") <= most).drop("c")
     pairs = _side(few.withColumnRenamed("h", "of"), "a").withColumnRenamed("of_a", "h").join(_side(few.withColumnRenamed("h", "of"), "b").withColumnRenamed("of_b", "h"), "h").where(in_small & larger & fits).select("a", "b")
     dense = index.where(F.col("c") > most).select("h", "key").unionByName(rows.where("pos >= cool").select("h", "key").distinct())
-    hubs = dense.groupBy("h").agg(F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(t))) for t in range(HUBS)])).alias("hubs"))
+    hubs = dense.groupBy("h").agg(_hubs())
     to_hub = _by_shingle(dense, hubs).select(F.col("key").alias("a"), F.explode("hubs").alias("b")).where("a != b")
-    links = _verified(docs, firsts, sets, pairs.unionByName(to_hub).distinct(), x, id_col, text_col, words, num, den)
+    links = near.unionByName(_verified(docs, firsts, sets, _apart(pairs.unionByName(to_hub).distinct(), by_simhash), x, id_col, text_col, words, num, den))
     joined = components(links)
 
     # shingles whose sets are still in different components

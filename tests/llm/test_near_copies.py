@@ -3,7 +3,9 @@ import random
 import corpus_pipeline
 import pytest
 
+from quillon.llm import near_copies as module
 from quillon.llm.near_copies import near_copies
+from quillon.llm.op08_simhash import simhash
 
 
 def shingle_set(text, k=5):
@@ -55,3 +57,29 @@ def test_pipeline_drops_copies_at_jaccard_08(spark):
     left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in left) == [2 * g for g in range(8)]
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").collect() == []
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Without what the exact join adds, the groups are those of fingerprints within 4 bits, verified."""
+    rng, texts = random.Random(4), ["", None, "a b", "A  b"]
+    for n in (30, 80, 300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [edited(rng, base, e) for e in (0, 1, 1, 2, 2, 3, n // 10)]
+        texts += [" ".join(base + [f"t{i}" for i in range(e)]) for e in (0, 1, 2, 5)]
+    sets, fps = [shingle_set(t) for t in texts], [simhash((t or "").encode(), 5) for t in texts]
+
+    def groups(linked):
+        least = list(range(len(texts)))
+        for _ in texts:
+            for i, j in linked:
+                least[i] = least[j] = min(least[i], least[j])
+        return dict(enumerate(least))
+
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    close = [(i, j) for i, j in near if ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 4 or sets[i] == sets[j]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    assert found() == groups(near)
+    monkeypatch.setattr(module, "_apart", lambda pairs, joined: pairs.where("false"), raising=False)
+    assert found() == groups(close) != groups(near)
+    assert len(set(groups(close).values())) < len({frozenset(s) for s in sets})
