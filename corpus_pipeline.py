@@ -10,7 +10,7 @@ from quillon.llm.op04_mixing import mix
 from quillon.llm.op05_line_dedup import line_dedup
 from quillon.llm.op07_bpe import bpe, vocabulary
 from quillon.llm.op09_toxicity import toxicity
-from quillon.plans.settle import discard, new_path, scratch
+from quillon.plans.settle import discard, new_path, scratch, writer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_path(spark)
         with scratch(spark):
             made = stage(spark, docs, sf_dir)
-            made.write.parquet(path)
+            writer(made).parquet(path)
         if before:
             discard(spark, before)
         docs, before = spark.read.schema(made.schema).parquet(path), path

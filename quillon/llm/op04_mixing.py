@@ -73,7 +73,8 @@ def mixture(docs: DataFrame, *, tree: dict[str, Column], weights: dict, share: f
     """
     names = list(tree)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = settle(docs.select(F.col(id_col).alias("__id"), *[c.alias(n) for n, c in tree.items()], tokens(text).alias("t"), F.xxhash64(text).alias("x")))
+    rows = docs.select(F.col(id_col).alias("__id"), *[c.alias(n) for n, c in tree.items()], tokens(text).alias("t"), F.xxhash64(text).alias("x"))
+    rows = settle(rows.hint("rebalance", "__id"))  # few bytes a row: not a small file for each part of docs
     supplies = rows.groupBy(*names).agg(F.sum("t").alias("supply"))
     total = supplies.agg(F.sum("supply").alias("s")).head()["s"] or 0
     leaves = budgets(supplies, names, weights, F.lit(int(total * share)), max_epochs).join(supplies, names)

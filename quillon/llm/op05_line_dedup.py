@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import routed
-from quillon.plans.settle import discard, new_path, scratch, settle
+from quillon.plans.settle import discard, new_path, scratch, settle, writer
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -41,7 +41,7 @@ class LineRuns:
     def _write(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"run_{uuid.uuid4().hex}", new_path(self.spark)
         self.tables.append((name, path))
-        df.write.option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        writer(df).option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
         return name, path
 
     def _drop(self, name: str, path: str) -> None:
@@ -124,7 +124,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     marked = F.transform("l", lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), ((i == 0) | (before(i, "h1") != x["h1"]) | (before(i, "h2") != x["h2"])).alias("first")))
     rows = rows.select("doc_id", "row", batch.cast("int").alias("batch"), F.inline(marked))
     with scratch(spark):
-        lines = settle(rows, partition_by=("batch",))
+        # one file a task, in which a batch's rows lie together, so that reading one batch skips the others' pages
+        lines = settle(rows.sortWithinPartitions("batch"))
 
         runs = LineRuns(spark, fanout=fanout)
         try:

@@ -9,7 +9,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+
+#: For a folder on a local disk, where Hadoop without its native library starts a process (chmod) for each file
+#: and folder that it makes, from executors of any size: no checksum file beside each file (Parquet's pages have
+#: their own), no marker of success. Other file systems' checksums are as they were.
+WRITING = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 _LOCAL: list[str] = []
 _OPEN: list[list[str]] = []  # what was settled within each open scratch()
@@ -37,7 +42,12 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, *, partition_by: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+def writer(df: DataFrame) -> DataFrameWriter:
+    """df.write, with as few files and processes as a table of our own needs."""
+    return df.write.options(**WRITING)
+
+
+def settle(df: DataFrame, *, outer: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder now, and return a DataFrame that reads it back.
 
     A lost executor then costs no more than the tasks it ran: what was written is never recomputed.
@@ -47,7 +57,7 @@ def settle(df: DataFrame, *, partition_by: tuple[str, ...] = (), outer: bool = F
     spark, path = df.sparkSession, new_path(df.sparkSession)
     for opened in _OPEN[: -1 if outer else None][-1:]:
         opened.append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
+    writer(df).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
